@@ -1,6 +1,6 @@
 """Import every report module so that the registry is complete."""
 
-from kairos.plans import reports_datasets, reports_evaluation, reports_temporal  # noqa: F401
+from kairos.plans import reports_datasets, reports_evaluation, reports_scoring, reports_temporal  # noqa: F401
 from kairos.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]

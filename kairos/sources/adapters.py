@@ -91,3 +91,73 @@ def asset_information(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("industry"),
         (F.col("p_partkey") * 2 + 1).alias("_ingest_seq"))
     return first.unionByName(dup)
+
+
+def _neg_abs(arr: Column, start: int, length: int, scale: float) -> Column:
+    return F.transform(F.slice(arr, start, length), lambda x: -F.abs(x).cast("double") * F.lit(scale))
+
+
+def membership_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vector: label (vec label mod 2) and five token log-prob lists.
+
+    The pretrained list is -|x| of the embedding; the tuned and lower-cased
+    models read shifted, scaled slices of it.
+    """
+    e = table(spark, sf_dir, "embeddings")
+    emb = F.col("embedding")
+    return e.select(
+        F.col("vec_id").alias("text_id"),
+        F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("text"),
+        (F.col("label") % 2).cast("double").alias("label"),
+        _neg_abs(emb, 1, 64, 1.0).alias("lp_pre"),
+        _neg_abs(emb, 2, 63, 0.9).alias("lp_fl"),
+        _neg_abs(emb, 3, 62, 0.8).alias("lp_cen"),
+        _neg_abs(emb, 1, 60, 0.95).alias("lp_fl_lower"),
+        _neg_abs(emb, 5, 60, 0.85).alias("lp_cen_lower"))
+
+
+def qa_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark rows from labelled documents: contexts = the document's lines."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    lab = table(spark, sf_dir, "labels")
+    j = d.join(lab, "doc_id")
+    return j.select(
+        "doc_id",
+        F.split(F.col("text"), "\n").alias("CONTEXTS"),
+        F.concat(F.lit("Is document "), F.col("doc_id").cast("string"), F.lit(" of good quality?")).alias("QUESTION"),
+        F.when(F.col("quality") == 1, "yes").otherwise("no").alias("final_decision"),
+        F.concat(F.lit("The document is "), F.when(F.col("toxic") == 1, "toxic").otherwise("not toxic"),
+                 F.lit(".")).alias("LONG_ANSWER"),
+        F.col("lang").alias("subset"))
+
+
+# Candidate generations of the QA fixture.
+QA_OUTPUTS = ["yes", "no", "yesyes", "yesno", "\n## yes", "unclear"]
+
+
+def qa_generations(prompts: DataFrame, seed=2025) -> DataFrame:
+    """(prompt, output): one generated answer per distinct prompt, chosen by hash."""
+    from kairos.functions.hashing import hash_key
+    idx = F.conv(F.substring(hash_key(seed, "prompt"), 1, 8), 16, 10).cast("long") % len(QA_OUTPUTS)
+    outs = F.array(*[F.lit(o) for o in QA_OUTPUTS])
+    return prompts.select("prompt").distinct().withColumn("output", F.get(outs, idx.cast("int")))
+
+
+def fit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(round, client_id, num_examples, train_loss) per reported fit."""
+    e = table(spark, sf_dir, "embeddings")
+    loss = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return e.select((F.lit(1) + F.col("vec_id") % 5).cast("int").alias("round"),
+                    F.col("label").cast("int").alias("client_id"),
+                    (F.lit(1) + F.col("vec_id") % 7).cast("long").alias("num_examples"),
+                    loss.alias("train_loss"))
+
+
+def parameter_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(round, client_id, param, values, num_examples) per reported fit."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select((F.lit(1) + F.col("vec_id") % 5).cast("int").alias("round"),
+                    F.col("label").cast("int").alias("client_id"),
+                    F.lit("adapter").alias("param"),
+                    F.col("embedding").alias("values"),
+                    (F.lit(1) + F.col("vec_id") % 7).cast("long").alias("num_examples"))
