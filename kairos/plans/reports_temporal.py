@@ -127,7 +127,7 @@ def j8_good_assets(spark, sf_dir):
                  a.anchor + CAST(70 * greatest(0, ceil(datediff('day', a.anchor, p.d) / 70.0)) AS INTEGER) AS period_end
           FROM p JOIN a USING (ISIN) WHERE p.closePrice IS NOT NULL)
     SELECT ISIN, {dtxt('period_end')} AS period_end, {rnd('arg_max(closePrice, d)')} AS end_price,
-           {rnd('avg(closePrice)')} AS avg_price, {rnd('max(closePrice)')} AS high_price,
+           {rnd('list_reduce(list(closePrice ORDER BY closePrice), lambda a, x: a + x, CAST(0.0 AS DOUBLE)) / count(closePrice)')} AS avg_price, {rnd('max(closePrice)')} AS high_price,
            {rnd('min(closePrice)')} AS low_price
     FROM b GROUP BY ISIN, period_end"""))
 def a4_ten_week_summary(spark, sf_dir):
