@@ -184,3 +184,45 @@ SMALL = {**TEST, "xsmall": f"""
 def e5_small_test_examples(spark, sf_dir):
     lab = D.test_labels(A.transactions(spark, sf_dir), A.close_prices(spark, sf_dir))
     return D.small_sample(lab.examples).select("example_id", "cutoff", "customerID")
+
+
+def _train_rows(spark, sf_dir):
+    """(client_id, example_id, label): the two labelled rows every train example yields."""
+    tx, pr = A.transactions(spark, sf_dir), A.close_prices(spark, sf_dir)
+    lab = D.train_labels(tx, pr, assigned(spark, sf_dir))
+    return lab.examples.select("client_id", "example_id").withColumn(
+        "label", F.explode(F.array(F.lit(True), F.lit(False))))
+
+
+ROWS2 = {**TRAIN, "trows": """SELECT client_id, example_id, l.label FROM tex
+                              CROSS JOIN (SELECT unnest([true, false]) AS label) l"""}
+
+
+@register("a9_partition_sizes", V.with_views("""
+    SELECT client_id, count(*) AS n_rows FROM trows GROUP BY client_id""", ROWS2))
+def a9_partition_sizes(spark, sf_dir):
+    return _train_rows(spark, sf_dir).groupBy("client_id").agg(F.count("*").alias("n_rows"))
+
+
+@register("a19_class_weights", V.with_views("""
+    SELECT client_id, D, U,
+           CASE WHEN D < U THEN CASE WHEN D = 0 THEN NULL ELSE U / D END ELSE 1.0 END AS desirable_weight,
+           CASE WHEN D < U THEN 1.0 ELSE CASE WHEN U = 0 THEN NULL ELSE D / U END END AS undesirable_weight
+    FROM (SELECT client_id, CAST(3 * count_if(label) AS BIGINT) AS D,
+                 CAST(4 * (count(*) - count_if(label)) AS BIGINT) AS U FROM trows GROUP BY client_id)""", ROWS2))
+def a19_class_weights(spark, sf_dir):
+    from kairos.operators import federated
+    return federated.class_weights(_train_rows(spark, sf_dir))
+
+
+@register("r6_train_test_split", V.with_views(f"""
+    SELECT client_id, example_id, label,
+           CASE WHEN row_number() OVER (PARTITION BY client_id
+                     ORDER BY {sql_hash(1234, 'client_id', 'example_id', 'label')}) <= ceil(count(*) OVER (PARTITION BY client_id) * 0.1)
+                THEN 'test' ELSE 'train' END AS split
+    FROM trows""", ROWS2))
+def r6_train_test_split(spark, sf_dir):
+    from kairos.operators import sampling
+    train, test = sampling.train_test_split(_train_rows(spark, sf_dir), "client_id", 1234,
+                                            ["example_id", "label"], 0.1)
+    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))

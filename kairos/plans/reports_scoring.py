@@ -214,3 +214,12 @@ def a17_weighted_loss(spark, sf_dir):
     GROUP BY ALL""", _FIT))
 def a18_weighted_vectors(spark, sf_dir):
     return federated.weighted_vectors_long(A.parameter_vectors(spark, sf_dir))
+
+
+@register("f21_chat_wrapped_prompts", V.with_views("""
+    SELECT doc_id, md5('<|im_start|>question' || chr(10) || prompt || '<|im_end|>' || chr(10) || '<|im_start|>answer' || chr(10))
+           AS wrapped_md5 FROM qa_prompts""", _QA))
+def f21_chat_wrapped_prompts(spark, sf_dir):
+    rows = A.qa_rows(spark, sf_dir)
+    prompt = qa.add_instruction(qa.qa_prompt(F.col("CONTEXTS"), F.col("QUESTION")))
+    return rows.select("doc_id", F.md5(qa.chat_wrap(prompt)).alias("wrapped_md5"))
