@@ -84,7 +84,7 @@ def roc_summary(curve: DataFrame, low_fpr: float = 0.05) -> DataFrame:
     points (no lag, no window); the curve includes (0, 0), so the maxima
     start at 0.5 and 0. Null when a class is missing.
     """
-    trap = F.col("neg") * (2 * F.col("cp") - F.col("pos")) / (2.0 * F.col("P") * F.col("N"))
+    trap = F.try_divide(F.col("neg") * (2 * F.col("cp") - F.col("pos")), 2.0 * F.col("P") * F.col("N"))
     bacc = 1 - (F.col("fpr") + 1 - F.col("tpr")) / 2
     return curve.groupBy("metric").agg(
         F.sum(trap).alias("auc"),
