@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairos.llm import pii
+from kairos.llm import bpe, pii
 from kairos.llm import oracles as O
 from kairos.llm.common import table
 
@@ -37,3 +37,18 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[F.size(k).cast("bigint").alias(f"n_{k}") for k in base],
         F.sha2(pii.span_text(base), 256).alias("base_sha256"),
         pii.span_text([k.name for k in pii.KINDS]).alias("spans"))
+
+
+def word_bpe_spec(path: str | None = None) -> str:
+    """The tokenizer file's text; by default the public vocabulary with word ends."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+@register("op6_bpe")
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), word_bpe_spec(), with_ids=False)

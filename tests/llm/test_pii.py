@@ -32,7 +32,7 @@ TEXTS = [
     "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 0001.02.255.0", "x4111 1111 1111 1111y 4111-1111-1111-1112 4 1 1",
     "+49 (170) 123-4567 and +1 2 +12345678 +1234567890123456", "é😀 a@b.co 😀 +49 170 1234567",
     "IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432, DE89370400440532013001",
-    "my ssn: 123-45-6789, part 123-45-6789-1, 000-12-3456", "a" * 100_000, "1" * 100_000, "1 " * 50_000, "a." * 50_000,
+    "my ssn: 123-45-6789, part 123-45-6789-1, 000-12-3456", "a" * 3_000, "1" * 2_000, "1 " * 50_000, "a." * 1_500,
     "a@" * 30_000, "+1(" * 30_000, "x " * 20_000 + "a@b.co 1.2.3.4 " * 700, "a@b.co," * 300 + "4111111111111111 " * 300,
 ]
 
@@ -50,6 +50,11 @@ def test_base_spans_equal_brute_force(spark):
             assert [(s["start"], s["end"]) for s in got[i][kind]] == want[kind], (i, kind)
 
 
+def test_unbroken_runs_take_linear_time_and_no_stack(spark):
+    got = run(spark, ["a" * 200_000, "1" * 200_000, "a." * 100_000])
+    assert all(not r[k] for r in got.values() for k in PLAIN)
+
+
 def test_own_kinds_need_checksum_and_context(spark):
     got = run(spark, TEXTS)
     text = TEXTS[10]
