@@ -55,15 +55,18 @@ class TokenAutomaton:
         for number, (u, v) in enumerate(merges):
             self._gadget(number, u, v)
         # labels (base symbols and what gadgets made) by what they spell inside a word and at its end
-        labels = [t for t in vocab if t in self.parts or len(t) == 1 or len(t) == 1 + len(suffix) and t.endswith(suffix)]
+        labels = [t for t in vocab if self._made(t)]
         self.inner = {t: t for t in labels if not t.endswith(suffix)}
         self.final = {t[: -len(suffix)]: t for t in labels if t.endswith(suffix)}
         self.longest = max((len(t.removesuffix(suffix)) for t in labels), default=1)
         self.arcs: dict[tuple[str, str], bool] = {}
 
+    def _made(self, t: str) -> bool:
+        return t in self.parts or len(t) == 1 or len(t) == 1 + len(self.suffix) and t.endswith(self.suffix)
+
     def _gadget(self, number: int, u: str, v: str) -> None:
-        if not self._arc(u, v):
-            return  # no path to merge: earlier merges keep v from standing after u
+        if not (self._made(u) and self._made(v) and self._arc(u, v)):
+            return  # no path to merge: a label that never arises, or earlier merges keep v from standing after u
         self.lost.setdefault(u, {})[v] = number
         self.parts[u + v] = (u, v)
         self.born[u + v] = number
