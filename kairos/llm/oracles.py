@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kairos.llm import pii
+from kairos.llm import licenses, pii
 
 
 def _luhn(digits: str) -> str:
@@ -59,4 +59,34 @@ SELECT doc_id, {', '.join(f"coalesce(n_{k.name}, 0)::BIGINT AS n_{k.name}" for k
 FROM d LEFT JOIN g USING (rid)"""
 
 
+def _licenses() -> str:
+    def rx(items):
+        out = ""
+        for it in items:
+            out += {"word": f"{it.word} ", "optional": f"({rx(it.inside)})?", "var": f"([^ ]+ ){{{it.low},{it.high}}}"}[it.kind]
+        return out
+    by_label: dict[str, list[str]] = {}
+    for t in licenses.templates():
+        by_label.setdefault(t.label, []).append(rx(t.items))
+    has = {label: "(" + " OR ".join(f"regexp_matches(line, ' {r}')" for r in rs) + ")" for label, rs in by_label.items()}
+    places = []
+    for t in licenses.templates():
+        if t.base:
+            same = " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(t.mandatory))
+            places.append(f"list_filter(range(1, len(w) + 1), lambda i: {same})")
+    joined = lambda names: "concat_ws(',', " + ", ".join(f"CASE WHEN {has[x]} THEN '{x}' END" for x in sorted(names)) + ")"
+    left = " * ".join(f"(CASE WHEN {has[x]} THEN 1.0::DOUBLE - {wt!r}::DOUBLE ELSE 1.0::DOUBLE END)" for x, wt in licenses.weights().items())
+    base = {t.label for t in licenses.templates() if t.base}
+    word = licenses.WORD.pattern.decode()
+    return f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') AS w
+  FROM documents),
+p AS MATERIALIZED (SELECT doc_id, w, concat(' ', array_to_string(w, ' '), ' ') AS line, list_concat({', '.join(places)}) AS pos FROM d)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(pos)::BIGINT AS n_base, (list_min(pos) - 1)::BIGINT AS first_word,
+  (list_max(pos) - 1)::BIGINT AS last_word, {joined(base)} AS base_labels, {joined(has)} AS labels, 1.0::DOUBLE - {left} AS score
+FROM p"""
+
+
 PII = _pii()
+LICENSES = _licenses()

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairos.llm import bpe, pii
+from kairos.llm import bpe, licenses, pii
 from kairos.llm import oracles as O
 from kairos.llm.common import table
 
@@ -52,3 +52,16 @@ def word_bpe_spec(path: str | None = None) -> str:
 @register("op6_bpe")
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), word_bpe_spec(), with_ids=False)
+
+
+@register("op1_licenses", O.LICENSES)
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("matches", lambda m: m["base"])
+    labels = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["label"])))
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"),
+        F.array_min(F.transform(base, lambda m: m["start"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda m: m["start"])).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(base, lambda m: m["label"]))), ",").alias("base_labels"),
+        F.array_join(labels, ",").alias("labels"), licenses.score(labels).alias("score"))
