@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairos.llm import bpe, licenses, pii
+from kairos.llm import bpe, licenses, pii, simhash
 from kairos.llm import oracles as O
 from kairos.llm.common import table
 
@@ -65,3 +65,9 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(F.transform(base, lambda m: m["start"])).alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(base, lambda m: m["label"]))), ",").alias("base_labels"),
         F.array_join(labels, ",").alias("labels"), licenses.score(labels).alias("score"))
+
+
+@register("op10_simhash")
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
