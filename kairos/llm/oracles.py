@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kairos.llm import licenses, pii
+from kairos.llm import licenses, mixing, pii
 
 
 def _luhn(digits: str) -> str:
@@ -88,5 +88,47 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(pos)::BIGINT AS n_base, (list_min(
 FROM p"""
 
 
+def _mixing(t: mixing.Targets, documents: str = "documents") -> str:
+    def by_domain(value):
+        whens = [(f"regexp_matches(source, '{p}')" if p else "true", value(n, w)) for n, w, p in t.domains]
+        return "CASE " + " ".join(f"WHEN {test} THEN {v}" for test, v in whens) + " END"
+    language = "CASE language " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in t.languages.items()) + f" ELSE {t.language_default} END"
+    if not t.languages:
+        language = str(t.language_default)
+
+    def level(name, path, weight, above):
+        parent = ", ".join(path[:-1])
+        over = f"OVER (PARTITION BY {parent} ORDER BY r, {path[-1]}" if parent else f"OVER (ORDER BY r, {path[-1]}"
+        join = f"JOIN {above} USING ({parent})" if parent else f"CROSS JOIN {above}"
+        cols = ", ".join(path)
+        return f"""
+{name}_s AS MATERIALIZED (SELECT *, capacity::DOUBLE / weight AS r FROM (
+  SELECT {cols}, sum(capacity)::BIGINT AS capacity, max({weight})::BIGINT AS weight FROM leaf GROUP BY {cols}) {join}),
+{name}_w AS (SELECT *, sum(capacity) {over}) - capacity AS used,
+  sum(weight) {over} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM {name}_s),
+{name}_f AS (SELECT *, capacity * open_weight <= (budget - used) * weight AS is_full FROM {name}_w),
+{name}_t AS (SELECT {parent + "," if parent else ""} coalesce(sum(capacity) FILTER (WHERE is_full), 0)::BIGINT AS used_all,
+  coalesce(sum(weight) FILTER (WHERE NOT is_full), 0)::BIGINT AS open_all FROM {name}_f {"GROUP BY " + parent if parent else ""}),
+{name} AS MATERIALIZED (SELECT {cols}, CASE WHEN is_full THEN capacity ELSE ((budget - used_all) * weight) // open_all END::BIGINT AS budget
+  FROM {name}_f {f"JOIN {name}_t USING ({parent})" if parent else f"CROSS JOIN {name}_t"})"""
+    leaf = ", ".join(mixing.TREE[2])
+    return f"""
+WITH n AS MATERIALIZED (SELECT doc_id, coalesce(lang, '') AS language, coalesce(source, '') AS source,
+  len(regexp_extract_all(coalesce(text, ''), '{mixing.TOKEN}'))::BIGINT AS n_tokens FROM {documents}),
+rows_ AS MATERIALIZED (SELECT *, {by_domain(lambda n, w: f"'{n}'")} AS domain FROM n),
+leaf AS MATERIALIZED (SELECT {leaf}, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::BIGINT * {t.max_epochs} AS capacity FROM rows_ GROUP BY {leaf}),
+root AS (SELECT (coalesce(sum(tokens), 0)::BIGINT * {t.percent}) // 100 AS budget FROM leaf),
+{level("l1", mixing.TREE[0], by_domain(lambda n, w: w), "root")},
+{level("l2", mixing.TREE[1], language, "l1")},
+{level("l3", mixing.TREE[2], "1", "l2")},
+dealt AS (SELECT {leaf}, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs,
+  CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest FROM l3 JOIN leaf USING ({leaf})),
+keyed AS (SELECT *, md5(concat_ws('|', '{t.seed}', epochs::VARCHAR, doc_id::VARCHAR)) AS k FROM rows_ JOIN dealt USING ({leaf}))
+SELECT doc_id, {leaf}, n_tokens,
+  (epochs + CASE WHEN rest > 0 AND sum(n_tokens) OVER (PARTITION BY {leaf} ORDER BY k) <= rest THEN 1 ELSE 0 END)::BIGINT AS copies
+FROM keyed"""
+
+
 PII = _pii()
+MIXING = _mixing(mixing.Targets())
 LICENSES = _licenses()

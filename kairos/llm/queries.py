@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairos.llm import bpe, licenses, pii, simhash, toxicity
+from kairos.llm import bpe, licenses, mixing, pii, simhash, toxicity
 from kairos.llm import oracles as O
 from kairos.llm.common import table
 
@@ -76,3 +76,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_toxicity")
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op8_mixing", O.MIXING)
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents"))
