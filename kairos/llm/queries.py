@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairos.llm import bpe, licenses, mixing, pii, simhash, toxicity
+from kairos.llm import bpe, licenses, mixing, pii, simhash, substrings, toxicity
 from kairos.llm import oracles as O
 from kairos.llm.common import table
 
@@ -81,3 +81,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_mixing", O.MIXING)
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
+
+
+@register("op9_substrings")
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"), with_text=False)
