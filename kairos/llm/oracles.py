@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kairos.llm import licenses, mixing, pii
+from kairos.llm import licenses, mixing, pii, urls
 
 
 def _luhn(digits: str) -> str:
@@ -129,6 +129,47 @@ SELECT doc_id, {leaf}, n_tokens,
 FROM keyed"""
 
 
+def _urls(rules=urls.RULES) -> str:
+    def fits(h, p):
+        return f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    ordered = urls.by_length(rules)
+    rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in ordered) + " END"
+    judged = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in ordered) + " END"
+    lower = lambda c: f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    link = urls.LINK.replace("'", "''")
+    rounds = "".join(f""",
+r{i} AS MATERIALIZED (SELECT s.kind, s.a, CASE WHEN moves THEN {1 - urls.DAMPING!r}::DOUBLE * seed + {urls.DAMPING}::DOUBLE * coalesce(came, 0) ELSE seed END AS mass
+  FROM seeds s LEFT JOIN (SELECT f.kind, f.b, sum(mass * part) AS came FROM flow f JOIN r{i - 1} r ON r.kind = f.kind AND r.a = f.a
+    GROUP BY f.kind, f.b) c ON c.kind = s.kind AND c.b = s.a)""" for i in range(1, urls.ROUNDS + 1))
+    return f"""
+WITH u AS MATERIALIZED (SELECT page_id, {lower(f"regexp_extract(coalesce(url, ''), '{urls.URL}', 1)")} AS host,
+  regexp_extract(coalesce(url, ''), '{urls.URL}', 2) AS path, coalesce(html, '') AS html FROM pages),
+p AS MATERIALIZED (SELECT *, {rule} AS rule, {judged} AS judged FROM u),
+links AS MATERIALIZED (SELECT a, b, count(*) AS n FROM (
+  SELECT host AS a, unnest(list_distinct(list_transform(regexp_extract_all(html, '{link}', 1), lambda x: {lower("x")}))) AS b FROM p)
+  WHERE a <> '' AND b <> '' AND a <> b GROUP BY a, b),
+hosts AS (SELECT host FROM p WHERE host <> '' UNION SELECT b FROM links),
+family AS MATERIALIZED (SELECT DISTINCT a, b FROM (
+  SELECT array_to_string(l[len(l) - i:], '.') AS a, array_to_string(l[len(l) - i + 1:], '.') AS b
+  FROM (SELECT l, unnest(range(1, len(l))) AS i FROM (SELECT string_split(host, '.') AS l FROM hosts))) WHERE contains(b, '.')),
+edges AS MATERIALIZED (SELECT a, b, sum(n)::DOUBLE AS n FROM (
+  SELECT a, b, n FROM links UNION ALL SELECT a, b, 1 FROM family UNION ALL SELECT b, a, 1 FROM family) GROUP BY a, b),
+both_ways AS (SELECT 'trust' AS kind, a, b, n FROM edges UNION ALL SELECT 'distrust', b, a, n FROM edges),
+flow AS MATERIALIZED (SELECT kind, a, b, n / sum(n) OVER (PARTITION BY kind, a) AS part FROM both_ways),
+said AS (SELECT host AS a, sum(CASE WHEN judged = 'allow' THEN 1.0 WHEN judged IS NULL THEN {urls.UNJUDGED} ELSE 0.0 END)::DOUBLE AS trust,
+  sum(CASE WHEN judged = 'block' THEN 1.0 ELSE 0.0 END)::DOUBLE AS distrust FROM p GROUP BY host),
+kinds AS (SELECT 'trust' AS kind, a, trust AS seed FROM said UNION ALL SELECT 'distrust', a, distrust FROM said),
+seeds AS MATERIALIZED (SELECT kind, a, coalesce(seed, 0)::DOUBLE AS seed, coalesce(moves, false) AS moves
+  FROM kinds FULL JOIN (SELECT DISTINCT kind, a, true AS moves FROM flow) USING (kind, a)),
+r0 AS (SELECT kind, a, seed AS mass FROM seeds){rounds},
+scores AS (SELECT a AS host, sum(CASE WHEN kind = 'trust' THEN mass ELSE 0 END) AS trust,
+  sum(CASE WHEN kind = 'distrust' THEN mass ELSE 0 END) AS distrust FROM r{urls.ROUNDS} GROUP BY a)
+SELECT page_id, host, path, rule, coalesce(judged, CASE WHEN round(distrust - {urls.THRESHOLD} * (trust + distrust), 9) > 0
+  THEN 'block' ELSE 'allow' END) AS verdict, round(trust, 6) AS trust, round(distrust, 6) AS distrust
+FROM p LEFT JOIN scores USING (host)"""
+
+
 PII = _pii()
+URLS = _urls()
 MIXING = _mixing(mixing.Targets())
 LICENSES = _licenses()

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairos.llm import bpe, licenses, mixing, pii, simhash, substrings, toxicity
+from kairos.llm import bpe, licenses, mixing, pii, simhash, substrings, toxicity, urls
 from kairos.llm import oracles as O
 from kairos.llm.common import table
 
@@ -86,3 +86,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_substrings")
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
+@register("op2_urls", O.URLS)
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
