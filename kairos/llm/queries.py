@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairos.llm import bpe, licenses, mixing, pii, simhash, substrings, topk, toxicity, urls
+from kairos.llm import bpe, licenses, mixing, nearest, pii, simhash, substrings, topk, toxicity, urls
 from kairos.llm import oracles as O
 from kairos.llm.common import table
 
@@ -96,3 +96,8 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_topk", O.TOPK)
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+@register("op7_nearest")
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"))
