@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DAY = 86400
+DAY_MICROS = DAY * 1_000_000
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ def _d(s: str) -> _dt.date:
 # The grids used by the dataset builds, shifted onto the span of
 # the provided tables (train: every 4 weeks; test: every 2 weeks).
 TRAIN_GRID = CutoffGrid(_d("2000-06-04"), _d("1998-08-01"), 28)
-TEST_GRID = CutoffGrid(_d("2001-05-01"), _d("2000-12-01"), 14)
+TEST_GRID = CutoffGrid(_d("2001-05-01"), _d("2000-10-31"), 14)
 HORIZON_DAYS = 180
 
 
@@ -56,9 +57,14 @@ def cutoff_of(grid: CutoffGrid, k: Column) -> Column:
     return F.date_sub(F.lit(grid.start), (k * F.lit(grid.step_days)).cast("int"))
 
 
-def _seconds_from_start(grid: CutoffGrid, ts: Column) -> Column:
+def _micros_from_start(grid: CutoffGrid, ts: Column) -> Column:
     start = F.lit(_dt.datetime.combine(grid.start, _dt.time())).cast("timestamp_ntz")
-    return F.timestamp_diff("SECOND", start, ts.cast("timestamp_ntz"))
+    return F.timestamp_diff("MICROSECOND", start, ts.cast("timestamp_ntz"))
+
+
+def _floor_div(x: Column, step: int) -> Column:
+    """Whole-number division rounded down, exact to the microsecond."""
+    return ((x - F.pmod(x, F.lit(step))) / F.lit(step)).cast("long")
 
 
 def horizon_indexes(grid: CutoffGrid, ts: Column, horizon_days: int = HORIZON_DAYS) -> Column:
@@ -67,10 +73,10 @@ def horizon_indexes(grid: CutoffGrid, ts: Column, horizon_days: int = HORIZON_DA
     k > -x/step and k <= (H - x)/step with x = ts - start; at most
     ceil(H/step)+1 entries, so the fan-out is bounded by the parameters.
     """
-    x = _seconds_from_start(grid, ts).cast("double")
-    step = float(grid.step_days * DAY)
-    lo = F.greatest(F.floor(-x / step) + 1, F.lit(0))
-    hi = F.least(F.floor((F.lit(float(horizon_days * DAY)) - x) / step), F.lit(grid.count - 1))
+    x = _micros_from_start(grid, ts)
+    step = grid.step_days * DAY_MICROS
+    lo = F.greatest(_floor_div(-x, step) + 1, F.lit(0))
+    hi = F.least(_floor_div(F.lit(horizon_days * DAY_MICROS) - x, step), F.lit(grid.count - 1))
     return F.when(lo <= hi, F.sequence(lo.cast("int"), hi.cast("int"))).otherwise(
         F.array().cast("array<int>"))
 
@@ -78,10 +84,23 @@ def horizon_indexes(grid: CutoffGrid, ts: Column, horizon_days: int = HORIZON_DA
 def asof_bucket(grid: CutoffGrid, ts: Column) -> Column:
     """Largest k with ts <= cutoff_k (the nearest cutoff at or after ts), clipped
     to the oldest cutoff; null when ts is after the newest cutoff."""
-    x = _seconds_from_start(grid, ts).cast("double")
-    k = F.floor(-x / float(grid.step_days * DAY))
+    k = _floor_div(-_micros_from_start(grid, ts), grid.step_days * DAY_MICROS)
     return F.when(k >= 0, F.least(k, F.lit(grid.count - 1)).cast("int"))
 
 
+def _at(day: _dt.date) -> Column:
+    return F.lit(_dt.datetime.combine(day, _dt.time())).cast("timestamp_ntz")
+
+
+def in_horizons(grid: CutoffGrid, ts: Column, horizon_days: int = HORIZON_DAYS) -> Column:
+    """The plain bounds that any horizon of the grid implies; a scan can skip row groups by them."""
+    return (ts > _at(grid.dates()[-1])) & (ts <= _at(grid.start + _dt.timedelta(days=horizon_days)))
+
+
+def up_to_newest(grid: CutoffGrid, ts: Column) -> Column:
+    """The plain bound of an as-of read: nothing after the newest cutoff."""
+    return ts <= _at(grid.start)
+
+
 def date_text(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd")

@@ -8,11 +8,10 @@ the only shuffles are the aggregations on their natural keys.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kairos.functions.dates import (HORIZON_DAYS, CutoffGrid, asof_bucket, cutoff_of,
-                                    horizon_indexes)
+                                    horizon_indexes, in_horizons, up_to_newest)
 
 
 def horizon_purchases(transactions: DataFrame, grid: CutoffGrid,
@@ -22,7 +21,7 @@ def horizon_purchases(transactions: DataFrame, grid: CutoffGrid,
     Each buy fans out to at most ceil(horizon/step)+1 cutoffs; the distinct is
     combined map-side before the shuffle on its keys.
     """
-    buys = transactions.where(F.col("transactionType") == "Buy").select(
+    buys = transactions.where((F.col("transactionType") == "Buy") & in_horizons(grid, F.col("timestamp"), horizon_days)).select(
         "customerID", "ISIN", F.explode(horizon_indexes(grid, F.col("timestamp"), horizon_days)).alias("k"))
     return (buys.distinct()
             .withColumn("cutoff", cutoff_of(grid, F.col("k")))
@@ -41,7 +40,7 @@ def start_prices(prices: DataFrame, grid: CutoffGrid) -> DataFrame:
     buckets are reduced map-side, and per ISIN at most ``grid.count`` bucket
     values are carried forward to every later cutoff.
     """
-    p = prices.where(F.col("closePrice").isNotNull())
+    p = prices.where(F.col("closePrice").isNotNull() & up_to_newest(grid, F.col("timestamp")))
     buckets = (p.withColumn("b", asof_bucket(grid, F.col("timestamp"))).where(F.col("b").isNotNull())
                .groupBy("ISIN", "b")
                .agg(F.max_by(F.struct("timestamp", "closePrice"),
@@ -56,7 +55,7 @@ def start_prices(prices: DataFrame, grid: CutoffGrid) -> DataFrame:
 
 def end_prices(prices: DataFrame, grid: CutoffGrid, horizon_days: int = HORIZON_DAYS) -> DataFrame:
     """(k, cutoff, ISIN, end_price): last non-null price in (cutoff, cutoff + horizon]."""
-    p = prices.where(F.col("closePrice").isNotNull()).select(
+    p = prices.where(F.col("closePrice").isNotNull() & in_horizons(grid, F.col("timestamp"), horizon_days)).select(
         "ISIN", "timestamp", "closePrice",
         F.explode(horizon_indexes(grid, F.col("timestamp"), horizon_days)).alias("k"))
     return (p.groupBy("k", "ISIN").agg(_last().alias("end_price"))
@@ -86,15 +85,15 @@ def ten_week_summary(prices: DataFrame, weeks: int = 10) -> DataFrame:
     Bins are Sunday-anchored per ISIN, closed and labelled on the right: the
     anchor is the first Sunday on or after the ISIN's first date (a null price
     still anchors), and bin ``i`` ends ``anchor + 7*weeks*i`` days. Bins
-    without a price are dropped. The first-date window and the bin aggregation
-    share one shuffle on ISIN (rows per ISIN are bounded by the calendar).
+    without a price are dropped. The first date is a combined minimum, so no
+    task holds all rows of an ISIN.
     """
     span = 7 * weeks
     d = F.to_date("timestamp")
-    first = F.min(d).over(Window.partitionBy("ISIN"))
+    first = prices.groupBy("ISIN").agg(F.min(d).alias("_d0"))
     anchor = F.date_add(F.col("_d0"), (F.lit(6) - F.weekday(F.col("_d0"))).cast("int"))
     idx = F.greatest(F.lit(0), F.ceil(F.datediff(d, anchor) / F.lit(span))).cast("int")
-    binned = (prices.withColumn("_d0", first)
+    binned = (prices.join(first, "ISIN")
               .withColumn("period_end", F.date_add(anchor, idx * F.lit(span)))
               .where(F.col("closePrice").isNotNull()))
     # The mean sums the bin's prices in ascending order (a bin holds at most

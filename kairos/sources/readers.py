@@ -25,28 +25,41 @@ def read_transactions(spark, path, fmt="csv") -> DataFrame:
     return _read(spark, path, schemas.TRANSACTIONS, fmt)
 
 
-def read_customers(spark, path, fmt="csv", columns=tuple(schemas.TRAIT_COLUMNS)) -> DataFrame:
-    """Only the key and trait columns are kept (the source prunes the rest).
+def _in_load_order(df: DataFrame, order_column: str | None) -> DataFrame:
+    """Add ``_ingest_seq``, which keep-first goes by.
 
-    ``_ingest_seq`` must be the load order for keep-first; if the file has no
-    such column, one file read in order gives it via the input file position.
+    It is ``order_column`` where given. Without one, it is the place in the
+    input file, which only tells the order within one file: several files
+    are refused.
     """
-    file_schema = T.StructType([f for f in schemas.CUSTOMER_INFORMATION.fields
-                                if f.name != "_ingest_seq"])
-    df = _read(spark, path, file_schema, fmt)
-    return df.select("customerID", *columns).withColumn(
-        "_ingest_seq", F.monotonically_increasing_id())
+    if order_column is not None:
+        return df.withColumn("_ingest_seq", F.col(order_column).cast("long"))
+    if len(df.inputFiles()) > 1:
+        raise ValueError("several input files have no load order; name an order_column")
+    # the start of the file's block, then the place within it
+    return df.withColumn("_ingest_seq", F.struct(F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("row")))
+
+
+def read_customers(spark, path, fmt="csv", columns=tuple(schemas.TRAIT_COLUMNS), order_column=None) -> DataFrame:
+    """Only the key and trait columns are kept (the source prunes the rest); ``_ingest_seq``: see ``_in_load_order``."""
+    fields = [f for f in schemas.CUSTOMER_INFORMATION.fields if f.name != "_ingest_seq"]
+    if order_column is not None and order_column not in [f.name for f in fields]:
+        fields.append(T.StructField(order_column, T.LongType()))
+    df = _in_load_order(_read(spark, path, T.StructType(fields), fmt, enforceSchema="false"), order_column)
+    return df.select("customerID", *columns, "_ingest_seq")
 
 
 def read_prices(spark, path, fmt="csv") -> DataFrame:
     return _read(spark, path, schemas.CLOSE_PRICES, fmt)
 
 
-def read_assets(spark, path, fmt="csv") -> DataFrame:
-    file_schema = T.StructType([f for f in schemas.ASSET_INFORMATION.fields
-                                if f.name != "_ingest_seq"])
-    return _read(spark, path, file_schema, fmt).withColumn(
-        "_ingest_seq", F.monotonically_increasing_id())
+def read_assets(spark, path, fmt="csv", order_column=None) -> DataFrame:
+    fields = [f for f in schemas.ASSET_INFORMATION.fields if f.name != "_ingest_seq"]
+    known = [f.name for f in fields]
+    if order_column is not None and order_column not in known:
+        fields.append(T.StructField(order_column, T.LongType()))
+    df = _in_load_order(_read(spark, path, T.StructType(fields), fmt, enforceSchema="false"), order_column)
+    return df.select(*known, "_ingest_seq")
 
 
 def read_jsonl(spark, path, schema: T.StructType) -> DataFrame:
@@ -55,23 +68,25 @@ def read_jsonl(spark, path, schema: T.StructType) -> DataFrame:
 
 
 def read_jsonl_tolerant(spark, path, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(good rows, bad raw lines): malformed lines are reported, not fatal."""
+    """(good rows, bad raw lines): malformed lines are reported, not fatal.
+
+    Lines are read as text and parsed by expression, so that neither result
+    needs a cached copy of the input.
+    """
     corrupt = "_corrupt_record"
     full = T.StructType(schema.fields + [T.StructField(corrupt, T.StringType(), True)])
-    df = (spark.read.schema(full).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", corrupt).json(path))
-    # Spark refuses queries that touch only the corrupt column of a raw scan.
-    df = df.cache()
-    good = df.where(F.col(corrupt).isNull()).drop(corrupt)
-    bad = df.where(F.col(corrupt).isNotNull()).select(F.col(corrupt).alias("line"))
+    lines = spark.read.text(path).where(F.trim("value") != "").select(
+        F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}).alias("row"))
+    good = lines.where(F.col(f"row.{corrupt}").isNull()).select(*[F.col(f"row.{f.name}") for f in schema.fields])
+    bad = lines.where(F.col(f"row.{corrupt}").isNotNull()).select(F.col(f"row.{corrupt}").alias("line"))
     return good, bad
 
 
-def read_jsonl_shuffled(spark, path, schema: T.StructType, seed=0) -> DataFrame:
-    """JSON lines in a seeded order (order matters only when written)."""
+def read_jsonl_shuffled(spark, path, schema: T.StructType, seed=0, keys: list[str] | None = None) -> DataFrame:
+    """JSON lines in a seeded order of ``keys`` (all columns by default), whatever the file splits; equal rows stay together."""
     from kairos.functions.hashing import hash_key
-    df = read_jsonl(spark, path, schema).withColumn("_pos", F.monotonically_increasing_id())
-    return df.orderBy(hash_key(seed, "_pos")).drop("_pos")
+    df = read_jsonl(spark, path, schema)
+    return df.orderBy(hash_key(seed, F.to_json(F.struct(*(keys or [f.name for f in schema.fields])))))
 
 
 def read_scores_csv(spark, path, schema: T.StructType | None = None) -> DataFrame:
@@ -101,3 +116,8 @@ def read_examples(spark, path, schema: T.StructType, fmt="json") -> DataFrame:
     """Written examples back as rows; partition discovery restores the layout column."""
     return spark.read.format(fmt).schema(schema).load(path) if fmt != "json" else \
         spark.read.schema(schema).json(path)
+
+
+def read_split(spark, train_path, test_path, fmt="parquet") -> tuple[DataFrame, DataFrame]:
+    """A split that ``writers.save_split`` wrote, as (train, test)."""
+    return spark.read.format(fmt).load(train_path), spark.read.format(fmt).load(test_path)

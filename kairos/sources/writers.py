@@ -2,30 +2,43 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 LAYOUTS = {"by_client": ["client_id"], "by_date": ["cutoff"], "flat": []}
 
 
 def write_examples(df: DataFrame, path: str, layout: str = "by_client", fmt: str = "json",
-                   mode: str = "overwrite") -> None:
-    cols = LAYOUTS[layout]
-    w = df.write.mode(mode).format(fmt)
-    if cols:
-        # One writer task per output folder is what partitionBy needs; the
-        # repartition keeps the file count per folder bounded.
-        w = df.repartition(*cols).write.mode(mode).format(fmt).partitionBy(*cols)
+                   mode: str = "overwrite", max_records: int = 100_000) -> None:
+    """One folder per client or date, as many files in it as its rows need.
+
+    Tasks write to the folders of the rows they hold, without a shuffle by
+    folder: a client with a third of all rows is not one task's work.
+    """
+    w = df.write.mode(mode).format(fmt).option("maxRecordsPerFile", max_records)
+    if LAYOUTS[layout]:
+        w = w.partitionBy(*LAYOUTS[layout])
     w.save(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_SUCCESS")))
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """JSON lines, nulls included."""
+    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+
+
+def write_responses(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Stored responses, one folder per model and data variant."""
+    df.write.mode(mode).partitionBy("model", "data_variant").json(path)
+
+
+def _finished(spark: SparkSession, path: str) -> bool:
+    """True if ``materialize_or_load`` has marked ``path`` as completely written."""
+    try:
+        return not spark.read.parquet(f"{path}.done").isEmpty()
+    except AnalysisException:
+        return False
 
 
 def materialize_or_load(spark: SparkSession, path: str, build: Callable[[], DataFrame],
@@ -33,10 +46,12 @@ def materialize_or_load(spark: SparkSession, path: str, build: Callable[[], Data
     """Build once into ``path`` (a shared folder), then always read it back.
 
     Writing a table is also how long lineages are cut: the result survives
-    executor loss and later stages start from the files.
+    executor loss and later stages start from the files. A marker written
+    after the table tells a finished one from what a lost driver left.
     """
-    if not _exists(spark, path):
+    if not _finished(spark, path):
         build().write.mode("overwrite").format(fmt).save(path)
+        spark.range(1).write.mode("overwrite").parquet(f"{path}.done")
     return spark.read.format(fmt).load(path)
 
 

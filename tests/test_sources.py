@@ -76,3 +76,31 @@ def test_flatten_and_format(spark):
     assert f.columns == ["s.a", "s.b.c", "s.b.d"]
     g = cleaning.format_instruction_dataset(df.drop("s"))
     assert g.columns == ["instruction", "response"] and g.collect()[0].instruction == "i"
+
+
+def test_keep_first_needs_a_load_order(spark):
+    from kairos.operators import cleaning
+    d = tmpdir()
+    head = "customerID,customerType,riskLevel,investmentCapacity,seq\n"
+    with open(os.path.join(d, "a.csv"), "w") as f:
+        f.write(head + "c1,first,x,y,1\n")
+    with open(os.path.join(d, "b.csv"), "w") as f:
+        f.write(head + "".join(f"z{i},pad,x,y,{i + 10}\n" for i in range(500)) + "c1,second,x,y,2\n")
+    with pytest.raises(ValueError):
+        readers.read_customers(spark, d)
+    df = readers.read_customers(spark, d, order_column="seq")
+    kept = cleaning.keep_first(df, "customerID")
+    assert kept.where("customerID = 'c1'").first()["customerType"] == "first"
+
+
+def test_shuffled_jsonl_is_the_same_for_any_split(spark):
+    d = tmpdir()
+    p = os.path.join(d, "x.jsonl")
+    with open(p, "w") as f:
+        f.writelines(json.dumps({"a": i, "b": "x" * 50}) + "\n" for i in range(400))
+    orders = []
+    for size in ("1k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        orders.append([r.a for r in readers.read_jsonl_shuffled(spark, p, SCHEMA, seed=3).collect()])
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert orders[0] == orders[1] != sorted(orders[0])

@@ -106,3 +106,22 @@ def test_transaction_class_null_is_sell(spark):
     df = spark.createDataFrame([("Buy",), ("Sell",), (None,)], "t string")
     got = [r[0] for r in df.select(cleaning.transaction_class("t")).collect()]
     assert got == ["BuyTransaction", "SellTransaction", "SellTransaction"]
+
+
+def test_microseconds_at_both_ends(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from kairos.functions.dates import CutoffGrid, asof_bucket, horizon_indexes, in_horizons
+    grid = CutoffGrid(dt.date(2000, 3, 1), dt.date(2000, 2, 16), 14)
+    cut, tick = dt.datetime(2000, 3, 1), dt.timedelta(microseconds=1)
+    end = cut + dt.timedelta(days=180)
+    times = [cut - tick, cut, cut + tick, cut + tick * 500_000, end - tick, end, end + tick, end + tick * 500_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i int, ts timestamp_ntz")
+    got = {r.i: (0 in r.h, r.b, r.inside) for r in df.select(
+        "i", horizon_indexes(grid, F.col("ts")).alias("h"), asof_bucket(grid, F.col("ts")).alias("b"),
+        in_horizons(grid, F.col("ts")).alias("inside")).collect()}
+    assert [got[i][0] for i in range(8)] == [False, False, True, True, True, True, False, False]
+    assert [got[i][1] for i in range(4)] == [0, 0, None, None]
+    assert all(inside or not hit for hit, _, inside in got.values())
