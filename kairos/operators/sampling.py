@@ -1,7 +1,9 @@
 """Exact, reproducible per-group sampling.
 
-Rows are ordered inside their group by the md5 text of (seed, key...). The
-k first rows of every group are found without sorting any whole group:
+Rows are ordered inside their group by the md5 text of (seed, key...). A
+literal k is a window-group limit, which Spark applies before the shuffle. For
+a k that depends on the group's size, the k first rows are found without
+sorting any whole group:
 
 1. the first three hex digits of the hash give one of 4096 buckets; a
    histogram per (group, bucket) is combined map-side;
@@ -39,8 +41,13 @@ def first_k_per_group(df: DataFrame, group_cols: list[str], order_col: str,
     the exact 1-based rank is returned as well (ranks are computed only for
     kept rows: earlier buckets are ranked inside their own bucket and offset).
     """
-    kfun = (lambda n: F.lit(k)) if isinstance(k, int) else k
     g = list(group_cols)
+    if isinstance(k, int):
+        # a literal k is a window-group limit: every task cuts its groups to k rows before the shuffle
+        name = rank_col or "_r"
+        top = df.withColumn(name, F.row_number().over(Window.partitionBy(*g).orderBy(order_col)).cast("long")).where(F.col(name) <= k)
+        return top if rank_col else top.drop(name)
+    kfun = k
     b = F.conv(F.substring(F.col(order_col), 1, BUCKET_DIGITS), 16, 10).cast("int")
     x = df.withColumn("_b", b)
     hist = x.groupBy(*g, "_b").agg(F.count("*").alias("_c"))
@@ -100,3 +107,35 @@ def train_test_split(df: DataFrame, group_col: str, seed, keys: list[str],
 def seeded_shuffle(df: DataFrame, seed, key: str) -> DataFrame:
     """Global seeded order (R5); only meaningful when written in order."""
     return df.orderBy(hash_key(seed, key))
+
+
+def numbered(df: DataFrame, buckets: list, order_col: str, out: str = "pos") -> DataFrame:
+    """Number all rows from 0 by (``buckets``, ``order_col``) without one global window.
+
+    ``buckets``: columns whose distinct values are few (a calendar, hash
+    digits); their counts give each bucket its offset.
+    """
+    sizes = df.groupBy(*buckets).agg(F.count("*").alias("_c"))
+    run = Window.orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_o", F.coalesce(F.sum("_c").over(run), F.lit(0))).drop("_c")
+    place = Window.partitionBy(*buckets).orderBy(order_col)
+    return (df.join(offsets, buckets).withColumn(out, (F.col("_o") + F.row_number().over(place) - 1).cast("long")).drop("_o"))
+
+
+def next_prime(n: int) -> int:
+    n = max(2, n)
+    while any(n % d == 0 for d in range(2, int(n ** 0.5) + 1)):
+        n += 1
+    return n
+
+
+def drawn_positions(j, seed, key: str, prime) -> Column:
+    """Entry j of a key's own order of [0, prime): a + b*j modulo a prime, with a and b from the key's hash.
+
+    Distinct for j below the prime, uniform, and pairwise independent over
+    entries; entries at or beyond the population are skipped by the caller.
+    """
+    prime = F.lit(prime) if isinstance(prime, int) else prime
+    step = F.conv(F.substring(hash_key(f"{seed}|step", key), 1, 13), 16, 10).cast("bigint") % (prime - 1) + 1
+    start = F.conv(F.substring(hash_key(f"{seed}|start", key), 1, 13), 16, 10).cast("bigint") % prime
+    return (start + step * j) % prime

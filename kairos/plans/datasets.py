@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kairos.functions.dates import HORIZON_DAYS, TEST_GRID, TRAIN_GRID, CutoffGrid, date_text
-from kairos.functions.hashing import hash_bucket, hash_key
+from kairos.functions.hashing import hash_key
 from kairos.operators import sampling, temporal
+from kairos.session import cut_lineage
 
 SEED = 2025
 MAX_RECOMMENDATIONS = 20
-N_PERMUTATIONS = 64
 
 
 def example_id(customer="customerID", cutoff="cutoff"):
@@ -36,17 +36,20 @@ class Labels:
 
 def _labels(transactions, prices, grid: CutoffGrid, keep: DataFrame | None,
             horizon_days: int) -> Labels:
+    """Each part is written once; whatever is built on labels starts from those tables."""
     pur = temporal.horizon_purchases(transactions, grid, horizon_days)
     if keep is not None:
-        pur = pur.join(keep, ["k", "customerID"], "left_semi")
-    prof = temporal.profitable_assets(prices, grid, horizon_days).select("k", "cutoff", "ISIN")
-    good = temporal.good_assets(pur, prof)
-    ex = good.select("k", "cutoff", "customerID").distinct().withColumn("example_id", example_id())
+        keep = cut_lineage(keep, "sampled")
+        pur = pur.join(keep.select("k", "customerID"), ["k", "customerID"], "left_semi")
+    pur = cut_lineage(pur.withColumn("example_id", example_id()), "purchases")
+    prof = cut_lineage(temporal.profitable_assets(prices, grid, horizon_days).select("k", "cutoff", "ISIN"), "profitable")
+    good = cut_lineage(temporal.good_assets(pur, prof), "good")
+    ex = good.select("k", "cutoff", "customerID", "example_id").distinct()
     if keep is not None and "client_id" in keep.columns:
         ex = ex.join(keep.select("k", "customerID", "client_id"), ["k", "customerID"])
-    pur_e = pur.withColumn("example_id", example_id()).join(ex.select("example_id"), "example_id", "left_semi")
-    good_e = good.withColumn("example_id", example_id())
-    return Labels(ex, pur_e.select("example_id", "ISIN"), good_e.select("example_id", "ISIN"), prof)
+    ex = cut_lineage(ex, "examples")
+    pur = pur.join(ex.select("example_id"), "example_id", "left_semi")
+    return Labels(ex, pur.select("example_id", "ISIN"), good.select("example_id", "ISIN"), prof)
 
 
 def sampled_customers(assigned: DataFrame, grid: CutoffGrid, fraction: float = 0.2,
@@ -75,32 +78,34 @@ def capped_good(labels: Labels, k: int = MAX_RECOMMENDATIONS, seed=SEED) -> Data
     return sampling.cap_per_group(labels.good, ["example_id"], f"{seed}|good", ["ISIN"], k)
 
 
-def permutations(assets: DataFrame, depth: int, n_perm: int = N_PERMUTATIONS, seed=SEED) -> DataFrame:
-    """(perm, rank, ISIN): the first ``depth`` assets of each of n_perm seeded orders."""
-    x = assets.select("ISIN").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-    x = x.withColumn("_h", hash_key(f"{seed}|perm", "perm", "ISIN"))
-    return sampling.first_k_per_group(x, ["perm"], "_h", depth, rank_col="rank").select("perm", "rank", "ISIN")
+def numbered_assets(assets: DataFrame, seed=SEED) -> tuple[DataFrame, int]:
+    """(ISIN, pos) with positions in a seeded order, and their number."""
+    x = assets.select("ISIN").distinct().withColumn("_h", hash_key(f"{seed}|asset", "ISIN"))
+    x = x.withColumn("_b", F.substring("_h", 1, 3))
+    out = cut_lineage(sampling.numbered(x, ["_b"], "_h").select("ISIN", "pos"), "assets")
+    return out, out.count()
 
 
-def bad_assets(labels: Labels, assets: DataFrame, k: int = MAX_RECOMMENDATIONS,
-               n_perm: int = N_PERMUTATIONS, seed=SEED) -> DataFrame:
-    """(example_id, ISIN): k assets outside the example's good set.
+def draw_assets(wanted: DataFrame, assets: DataFrame, key: str, seed) -> DataFrame:
+    """(``key``, j, ISIN): the first ``need`` assets of each key's own order of all assets. ``wanted``: (key, need).
 
-    Each example reads one of ``n_perm`` shared seeded orders of all assets
-    (chosen by hashing the example) and takes its first k entries that are not
-    good. Only the first k + |good| ranks can be needed, so each example emits
-    that many (perm, rank) keys and equi-joins them: the cost is output
-    sized, never examples x assets. Examples sharing an order are correlated;
-    raise ``n_perm`` for more independence.
+    Every key has its own order; the cost is the entries drawn, never keys x
+    assets. A few entries more are drawn (the distance to the next prime),
+    as some name no asset.
     """
+    pool, m = numbered_assets(assets, seed)
+    prime = sampling.next_prime(m)
+    last = F.least(F.col("need") + F.lit(prime - m), F.lit(prime)).cast("long")
+    entries = (wanted.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), last - 1)))
+               .withColumn("pos", sampling.drawn_positions(F.col("j"), seed, key, prime)))
+    return entries.where(F.col("pos") < m).join(pool, "pos").select(key, "j", "ISIN")
+
+
+def bad_assets(labels: Labels, assets: DataFrame, k: int = MAX_RECOMMENDATIONS, seed=SEED) -> DataFrame:
+    """(example_id, ISIN): k assets outside the example's good set, drawn for each example on its own."""
     need = labels.good.groupBy("example_id").agg((F.count("*") + F.lit(k)).alias("need"))
-    depth = need.agg(F.max("need")).first()[0] or k
-    perm = permutations(assets, int(depth), n_perm, seed)
-    keys = (need.withColumn("perm", hash_bucket(f"{seed}|pick", n_perm, "example_id"))
-            .withColumn("rank", F.explode(F.sequence(F.lit(1), F.col("need").cast("int"))))
-            .withColumn("rank", F.col("rank").cast("long")))
-    cand = keys.join(perm, ["perm", "rank"]).join(labels.good, ["example_id", "ISIN"], "left_anti")
-    w = Window.partitionBy("example_id").orderBy("rank")
+    cand = draw_assets(need, assets, "example_id", f"{seed}|bad").join(labels.good, ["example_id", "ISIN"], "left_anti")
+    w = Window.partitionBy("example_id").orderBy("j")
     return cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("example_id", "ISIN")
 
 

@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kairos.functions.dates import TEST_GRID, TRAIN_GRID, date_text
-from kairos.functions.hashing import sql_bucket, sql_hash, sql_uniform
+from kairos.functions.hashing import sql_hash, sql_uniform
 from kairos.operators import cohorts, temporal
 from kairos.plans import datasets as D
 from kairos.plans import views_sql as V
 from kairos.plans.registry import dtxt, register
 from kairos.plans.reports_temporal import traits
+from kairos.session import cut_lineage
 from kairos.sources import adapters as A
 
 S = D.SEED
 
 
 def assigned(spark, sf_dir, iid=False):
-    return cohorts.assign_clients(traits(spark, sf_dir), A.transactions(spark, sf_dir), iid=iid)
+    return cut_lineage(cohorts.assign_clients(traits(spark, sf_dir), A.transactions(spark, sf_dir), iid=iid), "assigned")
 
 
 def _e1_sql(iid: bool) -> str:
@@ -111,13 +112,15 @@ TRAIN = {**SAMPLED,
          "goodcap": f"""SELECT example_id, ISIN FROM tgood
                         QUALIFY row_number() OVER (PARTITION BY example_id
                                 ORDER BY {sql_hash(f'{S}|good', 'example_id', 'ISIN')}) <= 20""",
-         "perm": f"""SELECT CAST(p AS INTEGER) AS perm, ISIN,
-                            row_number() OVER (PARTITION BY p ORDER BY {sql_hash(f'{S}|perm', 'p', 'ISIN')}) AS rank
-                     FROM (SELECT DISTINCT ISIN FROM close_prices) a CROSS JOIN range(0, 64) r(p)""",
-         "badpick": f"""SELECT e.example_id, pm.ISIN FROM tex e JOIN perm pm
-                          ON pm.perm = {sql_bucket(f'{S}|pick', 64, 'e.example_id')}
-                        WHERE NOT EXISTS (SELECT 1 FROM tgood g WHERE g.example_id = e.example_id AND g.ISIN = pm.ISIN)
-                        QUALIFY row_number() OVER (PARTITION BY e.example_id ORDER BY pm.rank) <= 20"""}
+         "anum": f"""SELECT ISIN, row_number() OVER (ORDER BY {sql_hash(f'{S}|bad|asset', 'ISIN')}) - 1 AS pos
+                     FROM (SELECT DISTINCT ISIN FROM close_prices)""",
+         "amod": V.prime_sql("SELECT count(*) AS m FROM anum"),
+         "badpick": f"""SELECT e.example_id, a.ISIN FROM (
+                          SELECT example_id, j, {V.drawn_sql(f'{S}|bad', 'example_id', 'j')} AS pos
+                          FROM (SELECT example_id, unnest(range(0, least(need + p - m, p))) AS j, p FROM (
+                            SELECT example_id, count(*) + 20 AS need FROM tgood GROUP BY 1), amod)) e JOIN anum a USING (pos)
+                        WHERE NOT EXISTS (SELECT 1 FROM tgood g WHERE g.example_id = e.example_id AND g.ISIN = a.ISIN)
+                        QUALIFY row_number() OVER (PARTITION BY e.example_id ORDER BY e.j) <= 20"""}
 
 
 @register("e2_train_labels", V.with_views(f"""

@@ -6,6 +6,7 @@ pre-registered views in the checker.
 
 from __future__ import annotations
 
+from kairos.functions.hashing import sql_hash
 from kairos.functions.dates import HORIZON_DAYS, TEST_GRID, TRAIN_GRID
 
 
@@ -111,3 +112,15 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
         # Body brings its own CTEs: continue the same WITH list.
         return f"WITH {head},\n{stripped[4:]}"
     return f"WITH {head}\n{body}"
+
+
+def prime_sql(count_sql: str) -> str:
+    """(m, p): a count and the smallest prime not below it."""
+    return f"""SELECT m, min(x) AS p FROM (SELECT m, unnest(range(greatest(m, 2), m + 2000)) AS x FROM ({count_sql}))
+               WHERE NOT EXISTS (SELECT 1 FROM range(2, 50000) r(d) WHERE d * d <= x AND x % d = 0) GROUP BY m"""
+
+
+def drawn_sql(seed, key: str, j: str, p: str = "p") -> str:
+    """Entry j of a key's own order modulo a prime."""
+    word = lambda what: f"('0x' || substr({sql_hash(f'{seed}|{what}', key)}, 1, 13))::BIGINT"
+    return f"(({word('start')} % {p}) + ({word('step')} % ({p} - 1) + 1) * {j}) % {p}"
