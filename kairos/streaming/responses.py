@@ -1,29 +1,27 @@
 """Incremental scoring of response files (S8 + A10 as a stream).
 
 Each micro-batch of new response files is parsed and scored against the
-static goal tables (stream-static joins, no streaming state), and the
-per-response counts are appended to a Parquet table. Reports (E7) are then
-plain batch aggregations over that table, so late files only add rows.
-The checkpoint lives under the session's shared ``spark.checkpoint.dir``.
+static goal tables (stream-static joins, no streaming state). Its per-response
+counts replace the Parquet partition of its epoch, so a batch that is retried
+writes the same rows once. Reports (E7) are plain batch aggregations over that
+table. The caller names the checkpoint folder, which must stay the same from
+start to start and be shared by the cluster.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairos import schemas
 from kairos.functions.dates import date_text
-from kairos.plans.datasets import Labels
-from kairos.plans.evaluation import GOAL_KINDS, goal_tables
 from kairos.operators import ranking
-from kairos.session import checkpoint_dir
+from kairos.plans.datasets import Labels
+from kairos.plans.evaluation import goal_tables, scopes_of_kinds
 
 
 def score_stream(spark: SparkSession, responses_dir: str, labels: Labels, out_dir: str,
-                 name: str = "response_scores", trigger_once: bool = True):
+                 checkpoint: str, trigger_once: bool = True):
     """Start the stream; returns the StreamingQuery."""
     stream = spark.readStream.schema(schemas.RESPONSES).json(responses_dir)
     goals = goal_tables(labels)
@@ -32,16 +30,11 @@ def score_stream(spark: SparkSession, responses_dir: str, labels: Labels, out_di
     def batch(df: DataFrame, epoch: int):
         rid = F.concat_ws("|", "model", "data_variant", "ablation", "example_id")
         parsed = ranking.parse_responses(df.withColumn("rid", rid)).join(ex, "example_id")
-        scopes = parsed.select("rid", "example_id", "cutoff").withColumn(
-            "goal_name", F.explode(F.array(*map(F.lit, GOAL_KINDS)))).select(
-            "rid", "goal_name",
-            F.when(F.col("goal_name") == "profitableAssets", F.col("cutoff")).otherwise(F.col("example_id")).alias("scope"))
-        scored = ranking.score(parsed, scopes, goals).select(
+        scored = ranking.score(parsed, scopes_of_kinds(), goals).select(
             "model", "data_variant", "ablation", "goal_name", "example_id", "cutoff",
-            "tp", "fp", "fn", "rank", "counted", "n_bullets", F.lit(epoch).alias("epoch"))
-        scored.write.mode("append").parquet(out_dir)
+            "tp", "fp", "fn", "rank", "counted", "n_bullets")
+        scored.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
 
-    ckpt = os.path.join(checkpoint_dir(spark), name)
-    w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
+    w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="30 seconds")
     return w.start()

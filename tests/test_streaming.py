@@ -19,7 +19,14 @@ def test_stream_scores_new_files(spark):
     spark.createDataFrame([("m", "fin", "none", "e1", "<think></think>x\n- AA\n- CC", 10)],
                           "model string, data_variant string, ablation string, example_id string, response string, n_tokens int"
                           ).write.json(inbox)
-    q = score_stream(spark, inbox, labels, out, name=f"t{os.getpid()}{os.path.basename(d)}")
-    q.awaitTermination(120)
-    got = {r.goal_name: (r.tp, r.fp, r.rank) for r in spark.read.parquet(out).collect()}
-    assert got == {"completion": (1, 1, 0), "futurePurchases": (1, 1, 0), "profitableAssets": (1, 1, 0)}
+    def run():
+        score_stream(spark, inbox, labels, out, checkpoint=os.path.join(d, "checkpoint")).awaitTermination(120)
+        return sorted((r.goal_name, r.example_id, r.ablation, r.tp, r.fp, r.rank) for r in spark.read.parquet(out).collect())
+    kinds = ["completion", "futurePurchases", "profitableAssets"]
+    once = [(k, "e1", "none", 1, 1, 0) for k in kinds]
+    assert run() == once
+    assert run() == once  # a restart finds its checkpoint and adds nothing
+    spark.createDataFrame([("m", "fin", "Background", "e1", "<think></think>x\n- CC", 10)],
+                          "model string, data_variant string, ablation string, example_id string, response string, n_tokens int"
+                          ).write.mode("append").json(inbox)
+    assert run() == sorted(once + [(k, "e1", "Background", 0, 1, -1) for k in kinds])
