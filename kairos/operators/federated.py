@@ -23,11 +23,17 @@ def weighted_vectors_long(params: DataFrame) -> DataFrame:
         (F.sum(F.col("num_examples") * F.col("v")) / F.sum("num_examples")).alias("value"))
 
 
-def weighted_vectors(params: DataFrame) -> DataFrame:
-    """(round, param, values array<double>) reassembled in position order."""
-    long = weighted_vectors_long(params)
-    return long.groupBy("round", "param").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("values"))
+def round_report(fit: DataFrame, params: DataFrame) -> DataFrame:
+    """Per round: weighted loss, clients, examples, and size and sum of the averaged parameters.
+
+    The averaged values themselves stay in long form (``weighted_vectors_long``):
+    a whole parameter never becomes one row.
+    """
+    counts = fit.groupBy("round").agg(F.countDistinct("client_id").alias("n_clients"),
+                                      F.sum("num_examples").cast("long").alias("num_examples"))
+    values = weighted_vectors_long(params).groupBy("round").agg(F.count("*").alias("n_values"), F.sum("value").alias("value_sum"))
+    return weighted_loss(fit).join(values, "round").join(counts, "round").select(
+        "round", "train_loss", "n_values", "value_sum", "n_clients", "num_examples")
 
 
 def class_weights(examples: DataFrame, client_col: str = "client_id", label_col: str = "label") -> DataFrame:

@@ -93,7 +93,11 @@ def ignored_rows(scored: DataFrame) -> DataFrame:
 
 
 def attach_generations(rows: DataFrame, generations: DataFrame) -> DataFrame:
-    """Every row gets the output of its prompt (J12); joined on (hash, prompt)."""
-    g = generations.select(F.xxhash64("prompt").alias("_ph"), "prompt", "output")
+    """Every row gets the output of its prompt (J12); joined on (hash, prompt).
+
+    A prompt generated twice counts once, with its smallest output, so that
+    rows never multiply.
+    """
+    g = generations.groupBy("prompt").agg(F.min("output").alias("output")).withColumn("_ph", F.xxhash64("prompt"))
     r = rows.withColumn("_ph", F.xxhash64("prompt"))
     return r.join(g, ["_ph", "prompt"], "left").drop("_ph")

@@ -56,8 +56,12 @@ def test_class_weights_edges(spark):
 
 
 def test_weighted_vectors(spark):
-    df = spark.createDataFrame([(1, "a", [1.0, 2.0], 1), (1, "a", [3.0, 6.0], 3)],
-                               "round int, param string, values array<double>, num_examples bigint")
-    assert federated.weighted_vectors(df).collect()[0]["values"] == [2.5, 5.0]
-    fit = spark.createDataFrame([(1, 0, 1, 1.0), (1, 1, 3, 3.0)], "round int, client_id int, num_examples bigint, train_loss double")
-    assert federated.weighted_loss(fit).collect()[0].train_loss == 2.5
+    df = spark.createDataFrame([(1, "w", 1, [1.0, 2.0]), (1, "w", 3, [3.0, 6.0])],
+                               "round int, param string, num_examples long, values array<double>")
+    assert [r["value"] for r in federated.weighted_vectors_long(df).orderBy("pos").collect()] == [2.5, 5.0]
+
+
+def test_a_prompt_generated_twice_does_not_multiply_rows(spark):
+    rows = spark.createDataFrame([("p", 1), ("q", 2)], "prompt string, i int")
+    gen = spark.createDataFrame([("p", "b"), ("p", "a")], "prompt string, output string")
+    assert sorted((r.i, r.output) for r in qa.attach_generations(rows, gen).collect()) == [(1, "a"), (2, None)]
