@@ -45,17 +45,22 @@ def long_scores(df: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
     return long.where(F.col("score").isNotNull() & ~F.isnan("score"))
 
 
-def roc_curve(long: DataFrame, n_ranges: int = 64) -> DataFrame:
+RANGE_ROWS = 1_000_000  # scores that one task may cumulate
+
+
+def roc_curve(long: DataFrame, n_ranges: int | None = None) -> DataFrame:
     """(metric, score, tpr, fpr) per distinct score, descending thresholds.
 
     Ties share one point. The (0, 0) point at threshold +inf is not a row; the
-    summaries below add it.
+    summaries below add it. The number of score ranges follows the row count.
     """
+    if n_ranges is None:
+        n_ranges = max(64, -(-long.count() // RANGE_ROWS))
     pts = long.groupBy("metric", "score").agg(
         F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).cast("long").alias("pos"),
         F.sum(F.when(F.col("label") == 1, 0).otherwise(1)).cast("long").alias("neg"))
     probs = [i / n_ranges for i in range(1, n_ranges)]
-    cuts = long.groupBy("metric").agg(F.percentile_approx("score", probs, 1000).alias("cuts"))
+    cuts = long.groupBy("metric").agg(F.percentile_approx("score", probs, max(1000, 4 * n_ranges)).alias("cuts"))
     x = pts.join(cuts, "metric").withColumn(
         "rng", F.size(F.filter("cuts", lambda c: c < F.col("score")))).drop("cuts")
     per = x.groupBy("metric", "rng").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"))

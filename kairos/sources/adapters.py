@@ -3,7 +3,7 @@
 The four domain inputs (transactions, customer traits, close prices, asset
 attributes) are derived from lineitem / orders / customer / nation / region /
 part so that every operator runs over the whole given tables. The oracle SQL
-in ``kairos.plans.oracle`` builds the same views in DuckDB.
+in ``kairos.plans.views_sql`` builds the same views in DuckDB.
 """
 
 from __future__ import annotations
