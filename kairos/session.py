@@ -6,6 +6,7 @@ we only fill it in when it is unset (local tests).
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -37,6 +38,19 @@ def get_spark(master: str | None = None, app: str = "kairos",
     return spark
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it.
+
+    Matters where it is used from a path of the driver's own making, as in
+    tests; on a cluster the package is installed or sent along with the job.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    have = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if root not in have:
+        env["PYTHONPATH"] = os.pathsep.join([*have, root])
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, setting one only if none is configured."""
     sc = spark.sparkContext
