@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairos.session import checkpoint_dir
+from kairos.session import checkpoint_dir, let_workers_import
 
 WORD_GAP = r"\x20\x09-\x0D"  # the ASCII blanks that separate words
 
@@ -23,6 +23,7 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     case): every column gets a positional name first, and the first exact
     match wins.
     """
+    let_workers_import(df.sparkSession)
     temp = [f"c{i}" for i in range(len(df.columns))]
     flat = df.toDF(*temp)
     return flat.select([F.col(temp[df.columns.index(n)]).alias(n) for n in names])

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from kairos.llm.common import materialize, pick
 from kairos.llm.graph import components
+from kairos.session import let_workers_import
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SHINGLE, SEED, BITS = 3, 42, 3
@@ -137,6 +138,7 @@ def bk_links(fps: np.ndarray, radius: int) -> np.ndarray:
 
 def links(distinct_fps: DataFrame, bits: int = BITS) -> DataFrame:
     """``a``, ``b``: per shard, each linked fingerprint and its smallest reachable one. ``distinct_fps`` has ``fp``, without repeats."""
+    let_workers_import(distinct_fps.sparkSession)
     blocks = _blocks(64, bits + 1)
     fp = F.col("fp")
     shards = distinct_fps.select("fp", F.posexplode(F.array(*[_bit_field(fp, o, w) for o, w in blocks])).alias("block", "value"))
@@ -213,6 +215,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataF
     their columns; a group without any doc_id keeps the row with the smallest
     hash. Columns stay as they are.
     """
+    let_workers_import(docs.sparkSession)
     flat = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     doc, text = (F.col(f"c{docs.columns.index(n)}") for n in ("doc_id", "text"))
     marked = flat.withColumns({"row_doc": doc, "row_hash": F.xxhash64(*flat.columns)})
