@@ -84,7 +84,7 @@ def fill(children: DataFrame, parent: list[str]) -> DataFrame:
         totals = now.groupBy(*parent).agg(
             F.sum(F.when(F.col("full"), F.col("capacity")).otherwise(0)).alias("used"),
             F.sum(F.when(~F.col("full"), F.col("weight")).otherwise(0)).alias("open_weight"))
-        joined = now.join(totals, parent) if parent else now.crossJoin(F.broadcast(totals))  # totals of the root: one row
+        joined = now.join(totals, parent)
         left = F.col("budget") - F.col("used")
         now = materialize(joined.withColumn(
             "fills", ~F.col("full") & (F.col("capacity") * F.col("open_weight") <= left * F.col("weight"))), "children")
@@ -97,20 +97,18 @@ def fill(children: DataFrame, parent: list[str]) -> DataFrame:
 
 def leaves(rows: DataFrame, t: Targets) -> DataFrame:
     """Per leaf of ``rows`` (leaf columns, ``n_tokens``): ``tokens``, ``share``, whole ``epochs`` and the ``rest`` in tokens."""
-    leaf = materialize(rows.groupBy(*TREE[2]).agg(F.sum("n_tokens").alias("tokens")), "leaves")
+    leaf = materialize(rows.groupBy(*TREE[2]).agg(F.sum("n_tokens").alias("tokens")).withColumn("root", F.lit(0)), "leaves")
     nodes = leaf.withColumn("capacity", F.col("tokens") * t.max_epochs)
-    total = leaf.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).select(
-        F.expr(f"tokens * {t.percent} div 100").alias("budget"))
+    above = leaf.groupBy("root").agg(F.sum("tokens").alias("tokens")).select(
+        "root", F.expr(f"tokens * {t.percent} div 100").alias("budget"))
     weights = {"domain": _domain(t, F.col("source"))[1], "language": _language_weight(t, F.col("language")),
                "source": F.lit(1).cast("bigint")}
-    above = total
-    for depth, path in enumerate(TREE):
-        w = weights[path[-1]]
-        sums = nodes.groupBy(*path).agg(F.sum("capacity").alias("capacity"), F.max(w).alias("weight"))
-        parent = path[:-1]
-        dealt = sums.join(above, parent) if depth else sums.crossJoin(F.broadcast(above))  # the root's budget: one row
-        above = fill(dealt, parent).select(*path, F.col("share").alias("budget"))
-    shares = above.join(leaf, TREE[2])
+    parent = ["root"]
+    for path in TREE:
+        sums = nodes.groupBy(*parent, path[-1]).agg(F.sum("capacity").alias("capacity"), F.max(weights[path[-1]]).alias("weight"))
+        above = fill(sums.join(above, parent), parent).select(*parent, path[-1], F.col("share").alias("budget")).drop("root")
+        parent = path
+    shares = above.join(leaf.drop("root"), TREE[2])
     return materialize(shares.select(
         *TREE[2], "tokens", F.col("budget").alias("share"),
         F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0).alias("epochs"),
