@@ -25,6 +25,7 @@ import hashlib
 import json
 import unicodedata
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -32,9 +33,10 @@ from pyspark.sql import DataFrame
 from kairos.llm.common import pick
 
 NEVER = 1 << 60
-MAX_WORDS = 300_000     # encoded words kept per task; the table starts anew beyond it
+MAX_WORDS = 200_000     # encoded words kept per task; the table starts anew beyond it
 MAX_ARCS = 1_000_000    # arcs kept per task
 MAX_CACHED_WORD = 64    # longer words are encoded each time
+MAX_OUT = 250_000       # tokens put out at a time
 
 
 def byte_symbols() -> dict[int, str]:
@@ -210,18 +212,26 @@ def encode(docs: DataFrame, spec_text: str, with_ids: bool = True) -> DataFrame:
     """
     spec = docs.sparkSession.sparkContext.broadcast(spec_text)
 
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + (["ids"] if with_ids else [])
+
+    def frame(rows):
+        return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+
     def work(batches):
         tok = tokenizer(spec.value)
         for b in batches:
-            rows = []
-            for text in b["text"]:
+            rows, size = [], 0
+            for doc_id, text in zip(b["doc_id"].astype("Int64"), b["text"]):
                 got = tok.encode(text) if text else []
-                ids = " ".join([g[1] for g in got])
-                rows.append((sum([g[0] for g in got]), _digest(ids), _digest(" ".join([g[2] for g in got])),
-                             [int(i) for i in ids.split()] if with_ids else None))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-            out.insert(0, "doc_id", b["doc_id"].astype("Int64"))
-            yield out if with_ids else out.drop(columns="ids")
+                ids, n = " ".join([g[1] for g in got]), sum([g[0] for g in got])
+                row = [None if doc_id is pd.NA else doc_id, n, _digest(ids), _digest(" ".join([g[2] for g in got]))]
+                rows.append(row + [np.array(ids.split(), np.int32)] if with_ids else row)
+                size += n
+                if size >= MAX_OUT:
+                    yield frame(rows)
+                    rows, size = [], 0
+            if rows:
+                yield frame(rows)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     return pick(docs, "doc_id", "text").mapInPandas(work, schema)
 
