@@ -40,6 +40,7 @@ from kairos.llm.common import materialize, pick
 HELD_OUT = 5          # every fifth remainder is never learned from
 MAX_TRAIN = 20_000    # labelled rows that are learned from, about
 MAX_LEXICON = 4_000   # learned entries kept, by likelihood ratio
+MAX_COUNTED = 50_000  # entries counted in memory before they are passed on
 MIN_DOCS, MIN_RATIO = 4, 25.0
 BEGINNINGS = (5, 6)   # lengths of the word beginnings
 TREES, DEPTH, STEP = 20, 3, 0.2
@@ -118,15 +119,21 @@ def ratio(toxic: Column, clean: Column, all_toxic: int, all_clean: int) -> Colum
 
 def learn_lexicon(train: DataFrame, all_toxic: int, all_clean: int) -> tuple[frozenset, frozenset]:
     """Words and word beginnings of ``train`` (``text``, ``toxic``) that toxic texts have far more often."""
+    def frame(seen):
+        entries = [*(seen[0] | seen[1])]
+        return pd.DataFrame({"entry": entries, "toxic": [seen[1][e] for e in entries], "clean": [seen[0][e] for e in entries]}
+                            ).astype({"toxic": "int64", "clean": "int64"})
+
     def count(batches):
         for b in batches:
-            seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+            seen: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(b["text"], b["toxic"]):
                 words = set(WORD.findall((text or "").lower()))
                 seen[int(toxic)].update(words | {w[:k] + "*" for w in words for k in BEGINNINGS if len(w) > k})
-            entries = [*(seen[0] | seen[1])]
-            yield pd.DataFrame({"entry": entries, "toxic": [seen[1][e] for e in entries], "clean": [seen[0][e] for e in entries]},
-                               ).astype({"toxic": "int64", "clean": "int64"})
+                if len(seen[0]) + len(seen[1]) > MAX_COUNTED:
+                    yield frame(seen)
+                    seen = (Counter(), Counter())
+            yield frame(seen)
     counts = train.mapInPandas(count, "entry string, toxic long, clean long").groupBy("entry").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     best = (counts.where(f"toxic >= {MIN_DOCS}")
