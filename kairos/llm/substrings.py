@@ -43,7 +43,7 @@ from kairos.llm.common import materialize, pick
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)  # every remainder modulo 13 is a difference of two of these
 ANCHOR = WINDOW - PERIOD + 1
-BLOCK_BYTES = 16 << 20        # text in a block; a longer document is a block of its own
+BLOCK_BYTES = 8 << 20         # text in a block; a longer document is a block of its own
 RANGE_BYTES = 160 << 20       # text per hash range, which makes about eight million anchors
 MIN_RANGES = 64
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
