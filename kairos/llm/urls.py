@@ -9,8 +9,10 @@ host's verdict, which comes from the link graph:
 * Trust is personalised PageRank along the edges, seeded by the pages that
   rules allow, and by half of those no rule judges. Distrust is the same on
   the reversed edges, seeded by the pages that rules block: who links to
-  blocked hosts is distrusted. Both are counted in pages. Hosts without links
-  keep what they hold.
+  blocked hosts is distrusted. Both are counted in pages. Every host that an
+  edge touches receives; what arrives at a host without a way on stays there
+  for that round and is not dealt out again. Hosts without links keep what
+  they hold.
 * A host is blocked if its distrust is more than ``THRESHOLD`` of the sum.
 
 Edges are summed up per host pair before the first round and ranks are one row
@@ -90,14 +92,14 @@ def host_scores(pages: DataFrame) -> DataFrame:
     seeds = pages.groupBy("host").agg(*[F.sum(v).alias(k) for k, v in say.items()])
     seeds = seeds.select(F.col("host").alias("a"), F.explode(F.create_map(*[
         x for k in say for x in (F.lit(k), F.col(k))])).alias("kind", "seed"))
-    nodes = flow.select("kind", "a").distinct()
-    seeds = materialize(seeds.join(nodes.withColumn("moves", F.lit(True)), ["kind", "a"], "full").select(
-        "kind", "a", F.coalesce("seed", F.lit(0.0)).alias("seed"), F.coalesce("moves", F.lit(False)).alias("moves")), "seeds")
+    nodes = flow.select("kind", "a").unionByName(flow.select("kind", F.col("b").alias("a"))).distinct()
+    seeds = materialize(seeds.join(nodes.withColumn("linked", F.lit(True)), ["kind", "a"], "full").select(
+        "kind", "a", F.coalesce("seed", F.lit(0.0)).alias("seed"), F.coalesce("linked", F.lit(False)).alias("linked")), "seeds")
     ranks = seeds.select("kind", "a", F.col("seed").alias("mass"))
     for r in range(1, ROUNDS + 1):
         came = flow.join(ranks, ["kind", "a"]).groupBy("kind", "b").agg(F.sum(F.col("mass") * F.col("part")).alias("came"))
         ranks = (seeds.join(came.withColumnRenamed("b", "a"), ["kind", "a"], "left").select(
-            "kind", "a", F.when(F.col("moves"), (1 - DAMPING) * F.col("seed") + DAMPING * F.coalesce("came", F.lit(0.0)))
+            "kind", "a", F.when(F.col("linked"), (1 - DAMPING) * F.col("seed") + DAMPING * F.coalesce("came", F.lit(0.0)))
             .otherwise(F.col("seed")).alias("mass")))
         if r % ROUNDS_A_TABLE == 0:
             ranks = materialize(ranks, "ranks")

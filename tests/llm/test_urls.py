@@ -39,3 +39,12 @@ def test_equals_sql(spark):
 
 def test_empty_table(spark):
     assert U.judge(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_hosts_that_only_receive_get_their_share(spark):
+    # two-label hosts without subdomains: nobody links to spamblog.com, and sink.net links nowhere
+    rows = [(1, "http://www.bad.net/", ""), (2, "http://spamblog.com/", '<a href="http://www.bad.net/">'),
+            (3, "http://a.example.net/en/", '<a href="http://sink.net/">'), (4, "http://sink.net/", "")]
+    got = {r["page_id"]: r for r in U.judge(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()}
+    assert got[2]["distrust"] > 0 and got[2]["verdict"] == "block"
+    assert got[4]["trust"] > 0
