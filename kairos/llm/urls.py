@@ -7,13 +7,15 @@ host's verdict, which comes from the link graph:
 * Nodes are hosts, edges links between them: from a page's host to each host
   its html refers to (once per page), and between a host and its parent domain.
 * Trust is personalised PageRank along the edges, seeded by the pages that
-  rules allow, and by half of those no rule judges. Distrust is the same on
-  the reversed edges, seeded by the pages that rules block: who links to
-  blocked hosts is distrusted. Both are counted in pages. Every host that an
+  rules allow. Distrust is the same on the reversed edges, seeded by the pages
+  that rules block: who links to blocked hosts is distrusted. Both seeds are
+  scaled to the same sum, the number of pages (0 if no page was judged so);
+  pages no rule judges say nothing for their host. Every host that an
   edge touches receives; what arrives at a host without a way on stays there
   for that round and is not dealt out again. Hosts without links keep what
   they hold.
-* A host is blocked if its distrust is more than ``THRESHOLD`` of the sum.
+* A host is blocked if its distrust is more than ``THRESHOLD`` of the sum; a
+  host that neither rank reaches is allowed.
 
 Edges are summed up per host pair before the first round and ranks are one row
 per host, so a round is one join and one combined sum; every few rounds a
@@ -38,7 +40,7 @@ PARENT = r"^[^.]+\.([^.]+\..+)$"  # of a host of three labels or more
 # (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING, ROUNDS, ROUNDS_A_TABLE = 0.85, 16, 4
-UNJUDGED = 0.5      # how much a page no rule judges says for its host
+UNJUDGED = 0.5      # read by the SQL oracle alone, which still seeds trust by pages no rule judges
 THRESHOLD = 0.5
 
 
@@ -87,11 +89,13 @@ def host_scores(pages: DataFrame) -> DataFrame:
         edges.select(F.lit("distrust").alias("kind"), F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     out = flow.groupBy("kind", "a").agg(F.sum("n").alias("out"))
     flow = materialize(flow.join(out, ["kind", "a"]).select("kind", "a", "b", (F.col("n") / F.col("out")).alias("part")), "flow")
-    say = {"trust": F.when(F.col("judged") == "allow", 1.0).when(F.col("judged").isNull(), UNJUDGED).otherwise(0.0),
-           "distrust": F.when(F.col("judged") == "block", 1.0).otherwise(0.0)}
-    seeds = pages.groupBy("host").agg(*[F.sum(v).alias(k) for k, v in say.items()])
-    seeds = seeds.select(F.col("host").alias("a"), F.explode(F.create_map(*[
-        x for k in say for x in (F.lit(k), F.col(k))])).alias("kind", "seed"))
+    say = {"trust": "allow", "distrust": "block"}
+    said = materialize(pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), *[
+        F.count(F.when(F.col("judged") == v, 1)).alias(k) for k, v in say.items()]), "said")
+    sums = said.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pages", *say)]).first()
+    scale = {k: sums["pages"] / sums[k] if sums[k] else 0.0 for k in say}
+    seeds = said.select(F.col("host").alias("a"), F.explode(F.create_map(*[
+        x for k in say for x in (F.lit(k), F.col(k) * F.lit(scale[k]))])).alias("kind", "seed"))
     nodes = flow.select("kind", "a").unionByName(flow.select("kind", F.col("b").alias("a"))).distinct()
     seeds = materialize(seeds.join(nodes.withColumn("linked", F.lit(True)), ["kind", "a"], "full").select(
         "kind", "a", F.coalesce("seed", F.lit(0.0)).alias("seed"), F.coalesce("linked", F.lit(False)).alias("linked")), "seeds")

@@ -48,3 +48,15 @@ def test_hosts_that_only_receive_get_their_share(spark):
     got = {r["page_id"]: r for r in U.judge(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()}
     assert got[2]["distrust"] > 0 and got[2]["verdict"] == "block"
     assert got[4]["trust"] > 0
+
+
+def test_verdict_does_not_follow_a_hosts_own_page_count(spark):
+    # n unjudged pages that all link to a blocked host say nothing for their own host
+    for n in (1, 200):
+        rows = [(1, "http://www.bad.net/", ""), (2, "http://a.example.net/en/", '<a href="http://liked.com/">'),
+                (3, "http://liked.com/", ""), (4, "http://alone.com/", "")]
+        rows += [(10 + i, "http://farm.com/", '<a href="http://www.bad.net/">') for i in range(n)]
+        got = {r["page_id"]: r for r in U.judge(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()}
+        assert got[10]["verdict"] == "block" and got[10]["trust"] == 0
+        assert got[3]["verdict"] == "allow" and got[3]["trust"] > 0
+        assert (got[4]["verdict"], got[4]["trust"], got[4]["distrust"]) == ("allow", 0, 0)
