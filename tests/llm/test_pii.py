@@ -83,3 +83,16 @@ def test_empty_table_and_digest(spark):
     one = spark.createDataFrame([(1, "a@b.co 1.2.3.4")], "doc_id long, text string")
     row = pii.find_spans(one).select(F.sha2(pii.span_text(["email", "ip"]), 256).alias("h")).first()
     assert row["h"] == hashlib.sha256(b"email:0:6,ip:7:14").hexdigest()
+
+
+def test_ibans_with_text_directly_before_and_after(spark):
+    es, be, gb, de = "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"
+    cases = [(f"{es} 250 EUR", [es]), (f"{be} USD", [be]), (f"{be} 5390 0754", [be]), (f"ID42 {gb}", [gb]), (f"BE68 {gb}", [gb]),
+             (f"AB12 CD34 {de} 12", [de]), (f"{gb} {es} {be} 7", [gb, es, be]), (f"x{gb}", []), (f"{de}7 {de}x", []),
+             (f"😀({de}),{be}.", [de, be]), ("GB82WEST 1234 5698 7654 32", ["GB82WEST 1234 5698 7654 32"]),
+             (f"{gb[:-1]}3 A1", []), ("AB12 " * 20_000 + gb + "\n" + "x" * 50, [gb])]
+    got = run(spark, [t for t, _ in cases])
+    for i, (text, want) in enumerate(cases):
+        assert [text[s["start"]:s["end"]] for s in got[i]["iban"]] == want, text[:60]
+    df = spark.createDataFrame([(1, f"pay {es} 250 EUR")], "doc_id long, text string")
+    assert pii.redact(df).first()["text"] == "pay [IBAN] 250 EUR"
