@@ -180,7 +180,7 @@ class Tokenizer:
 
     def decode(self, ids: list[int]) -> str:
         """The arcs' labels, joined by blanks: the file names no decoder."""
-        return " ".join([self.labels[i] for i in ids])
+        return " ".join(map(self.labels.__getitem__, ids))
 
 
 #: Fixed value: the white space that the splitting pattern's \\s stands for, as a set's inside.
@@ -224,8 +224,9 @@ def encode(docs: DataFrame, spec_text: str, with_ids: bool = True) -> DataFrame:
             for doc_id, text in zip(b["doc_id"].astype("Int64"), b["text"]):
                 got = tok.encode(text) if text else []
                 ids, n = " ".join([g[1] for g in got]), sum([g[0] for g in got])
-                row = [None if doc_id is pd.NA else doc_id, n, _digest(ids), _digest(" ".join([g[2] for g in got]))]
-                rows.append(row + [np.array(ids.split(), np.int32)] if with_ids else row)
+                numbers = list(map(int, ids.split()))
+                row = [None if doc_id is pd.NA else doc_id, n, _digest(ids), _digest(tok.decode(numbers))]
+                rows.append(row + [np.array(numbers, np.int32)] if with_ids else row)
                 size += n
                 if size >= MAX_OUT:
                     yield frame(rows)

@@ -78,3 +78,15 @@ def test_caches_are_bounded(monkeypatch):
     tok = bpe.Tokenizer(__import__("json").loads(word_bpe_spec()))
     once = [tok.encode(w) for w in fuzz(50)]
     assert once == [tok.encode(w) for w in fuzz(50)] and len(tok.words) <= 10
+
+
+def test_decoded_digest_is_formed_from_the_ids(spark):
+    import json
+    spec = json.loads(word_bpe_spec())
+    end = spec["model"]["end_of_word_suffix"]
+    # an id with two labels: what the ids name differs from what the encoding path spelled
+    spec["added_tokens"][0]["id"] = spec["model"]["vocab"]["dog" + end]
+    df = spark.createDataFrame([(1, "a dog")], "doc_id long, text string")
+    row = bpe.encode(df, json.dumps(spec), with_ids=False).first()
+    text = f"a{end} {spec['added_tokens'][0]['content']}"
+    assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
