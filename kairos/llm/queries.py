@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairos.llm import bpe, licenses, mixing, nearest, pii, simhash, substrings, topk, toxicity, urls
+from kairos.llm import bpe, interaction, licenses, mixing, nearest, pii, simhash, substrings, topk, toxicity, urls
 from kairos.llm import oracles as O
 from kairos.llm.common import table
 
@@ -101,3 +101,8 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_nearest")
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"))
+
+
+@register("op13_filter_audit", O.FILTER_AUDIT)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
