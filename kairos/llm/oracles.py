@@ -215,3 +215,27 @@ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIG
   unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
   (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
 FROM full_orders JOIN m ON m.prefix = substr(filter_order, 1, m.step)"""
+
+SOURCE_DIVERGENCE = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS MATERIALIZED (SELECT rid, lang, source, term, count(*) AS n FROM (SELECT rid, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, sum(n) AS total FROM words GROUP BY ALL HAVING count(*) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS s FROM kept GROUP BY lang),
+cells AS MATERIALIZED (SELECT lang, source, term, sum(n) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS MATERIALIZED (SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(c.s, 0) AS s, coalesce(l.s, 0) AS ls
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN langs l USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS s FROM cells GROUP BY ALL) c USING (lang, source)),
+p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (g.s + 5 * g.v) AS p, 1 + (1000000000::HUGEINT * (total + 5)) // (g.ls + 5 * g.v) AS q
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term
+    GROUP BY ALL) t ON t.lang = a.lang AND t.source = a.source AND t.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value,
+  (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 50"""

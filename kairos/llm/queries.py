@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kairos.llm import bpe, interaction, licenses, mixing, nearest, pii, simhash, substrings, topk, toxicity, urls
+from kairos.llm import bpe, divergence, interaction, lattice, licenses, mixing, nearest, pii, simhash, substrings, topk, toxicity, urls
 from kairos.llm import oracles as O
 from kairos.llm.common import table
 
@@ -106,3 +106,13 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op13_filter_audit", O.FILTER_AUDIT)
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op11_source_divergence", O.SOURCE_DIVERGENCE)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@register("op12_lattice")
+def op12_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.dedup(table(spark, sf_dir, "embeddings"))
