@@ -41,7 +41,7 @@ MIN_DOCS = 30
 TOP_TERMS = 50
 ADDED = 5                # to every count
 SCALE = 1_000_000_000    # of shares
-CHUNK, SOURCES = 512, 64
+CHUNK, SOURCES, SALTS = 512, 64, 64
 HELD = 300_000           # counts a task holds before it puts them out
 
 #: Letters to lower case, everything else below 128 to blanks.
@@ -88,7 +88,10 @@ def kept_terms(counts: DataFrame, min_docs: int) -> DataFrame:
     terms = counts.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"))
     terms = terms.where(F.col("docs") >= min_docs).select("lang", "term", "total", F.floor(F.log2("total")).cast("int").alias("power"))
     sizes = terms.groupBy("lang", "power").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
-    dealt = terms.join(sizes, ["lang", "power"]).withColumn("chunk", F.pmod(F.xxhash64("term"), F.col("chunks")).cast("int")).drop("chunks")
+    # most terms of a language are of a few powers: each power meets its size under many salts
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = terms.withColumn("salt", F.pmod(F.hash("term"), F.lit(SALTS))).join(salted, ["lang", "power", "salt"]).withColumn(
+        "chunk", F.pmod(F.xxhash64("term"), F.col("chunks")).cast("int")).drop("chunks", "salt")
     place = Window.partitionBy("lang", "power", "chunk").orderBy("term")
     return dealt.withColumn("place", F.row_number().over(place) - 1)
 
