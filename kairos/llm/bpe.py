@@ -14,9 +14,11 @@ label was copied from (first parts of t). Arcs are put into the transition
 table when first needed; the table is bounded.
 
 The automaton is deterministic over tokens and every string of symbols has
-exactly one accepted path, so encoding walks the table from the start and,
-at a dead end, goes back to the next shorter label; no position is entered
-twice, which keeps it linear in the word.
+exactly one accepted path. Labels are spelled by a second table, (node,
+symbol) to node, compiled once: from a position it is driven symbol by symbol
+and names the labels that start there. Encoding follows the longest that the
+state has an arc for and, at a dead end, goes back to the next shorter; no
+position is entered twice, which keeps it linear in the word.
 """
 
 from __future__ import annotations
@@ -57,15 +59,25 @@ class TokenAutomaton:
         for number, (u, v) in enumerate(merges):
             self._gadget(number, u, v)
         # labels (base symbols and what gadgets made) by what they spell inside a word and at its end
-        labels = [t for t in vocab if self._made(t)]
-        self.inner = {t: t for t in labels if not t.endswith(suffix)}
-        self.final = {t[: -len(suffix)]: t for t in labels if t.endswith(suffix)}
-        self.longest = max((len(t.removesuffix(suffix)) for t in labels), default=1)
+        self.spell: dict[tuple[int, str], int] = {}
+        self.inner: dict[int, str] = {}
+        self.final: dict[int, str] = {}
+        for t in vocab:
+            if self._made(t):
+                at_end = t.endswith(suffix)
+                (self.final if at_end else self.inner)[self._node(t.removesuffix(suffix) if at_end else t)] = t
         self.arcs: dict[tuple[str, str], bool] = {}
 
     def _made(self, t: str) -> bool:
         return t in self.parts or len(t) == 1 or len(t) == 1 + len(self.suffix) and t.endswith(self.suffix)
 
+    def _node(self, symbols: str) -> int:
+        """The spelling table's node after ``symbols``, put in where missing (0: start)."""
+        node = 0
+        for x in symbols:
+            node = self.spell.setdefault((node, x), len(self.spell) + 1)
+        return node
+
     def _gadget(self, number: int, u: str, v: str) -> None:
         if not (self._made(u) and self._made(v) and self._arc(u, v)):
             return  # no path to merge: a label that never arises, or earlier merges keep v from standing after u
@@ -102,46 +114,54 @@ class TokenAutomaton:
             known = self.arcs[key] = self._arc(state, label)
         return known
 
+    def labels_from(self, word: str, at: int) -> list[tuple[int, str]]:
+        """(end, label) of every label that spells ``word`` from ``at``, shortest first."""
+        out, node, spell, inner = [], 0, self.spell, self.inner
+        for to in range(at + 1, len(word) + 1):
+            node = spell.get((node, word[to - 1]))
+            if node is None:
+                return out
+            label = (self.final if to == len(word) else inner).get(node)
+            if label is not None:
+                out.append((to, label))
+        return out
+
     def encode_word(self, word: str) -> list[str]:
         """The labels of the accepted path that spells ``word``, given in byte symbols."""
-        n = len(word)
-        whole = self.final.get(word)
-        if n < 2:
-            return [whole] if whole else []
-        at, path, dead = 0, [], set()
-        limit = self.longest
-        longest = min(n, limit)
+        n, at, path, dead = len(word), 0, [], set()
+        open_at = [self.labels_from(word, 0)] if n else []  # per label of the path and for the next: what is left to try
         while at < n:
             state = path[-1] if path else None
-            for k in range(longest, 0, -1):
-                to = at + k
-                label = self.final.get(word[at:]) if to == n else self.inner.get(word[at:to])
-                if label is not None and to not in dead and (state is None or self.follows(state, label)):
+            tries = open_at[-1]
+            while tries:
+                to, label = tries.pop()
+                if to not in dead and (state is None or self.follows(state, label)):
                     path.append(label)
-                    at, longest = to, min(n - to, limit)
+                    at = to
+                    open_at.append(self.labels_from(word, at))
                     break
             else:
+                if not path:
+                    return []  # a symbol that no label spells
                 dead.add(at)  # only one path leads here, and it goes no further
+                open_at.pop()
                 back = path.pop()
-                k = len(back) - (len(self.suffix) if at == n else 0)
-                at -= k
-                longest = k - 1
+                at -= len(back) - (len(self.suffix) if at == n else 0)
         return path
 
 
 class WordTable(dict):
-    """Word to (number of tokens, ids text, labels text); a missing word walks the automaton."""
+    """Word to (number of tokens, ids text, text decoded from the ids); a missing word walks the automaton."""
 
-    def __init__(self, automaton: TokenAutomaton):
+    def __init__(self, automaton: TokenAutomaton, decode):
         super().__init__()
-        self.automaton = automaton
+        self.automaton, self.decode = automaton, decode
         self.symbols = str.maketrans({chr(b): s for b, s in byte_symbols().items()})
 
     def __missing__(self, word: str):
         symbols = word.translate(self.symbols) if word.isascii() else word.encode().decode("latin-1").translate(self.symbols)
-        path = self.automaton.encode_word(symbols)
-        vocab = self.automaton.vocab
-        got = (len(path), " ".join([str(vocab[t]) for t in path]), " ".join(path))
+        ids = [self.automaton.vocab[t] for t in self.automaton.encode_word(symbols)]
+        got = (len(ids), " ".join(map(str, ids)), self.decode(ids))
         if len(word) <= MAX_CACHED_WORD:
             if len(self) >= MAX_WORDS:
                 self.clear()
@@ -154,29 +174,38 @@ class Tokenizer:
 
     def __init__(self, spec: dict):
         model = spec["model"]
-        self.words = WordTable(TokenAutomaton(model["vocab"], [tuple(m) for m in model["merges"]], model["end_of_word_suffix"]))
+        self.words = WordTable(TokenAutomaton(model["vocab"], [tuple(m) for m in model["merges"]], model["end_of_word_suffix"]), self.decode)
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") \
             if self.specials else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.split = regex.compile(pattern.replace(r"\s", BLANKS))
+        pattern = pattern.replace(r"\s", BLANKS)
+        self.split = regex.compile(pattern)
+        # the same with the newer letters and numbers among everything else
+        older = [(r"[\p{L}]", rf"[\p{{L}}--[{NEWER}]]"), (r"[\p{N}]", rf"[\p{{N}}--[{NEWER}]]"),
+                 (rf"[^{BLANKS}\p{{L}}\p{{N}}]", rf"[[^{BLANKS}\p{{L}}\p{{N}}]||[{NEWER}]]")]
+        for now, then in older:
+            pattern = pattern.replace(now, then)
+        self.split_newer, self.newer = regex.compile("(?V1)" + pattern), regex.compile(f"[{NEWER}]")
         self.labels = {i: t for t, i in (model["vocab"] | self.specials).items()}
 
     def encode(self, text: str) -> list[tuple[int, str, str]]:
-        """Per word or special token: number of tokens, ids text, labels text."""
+        """Per word or special token: number of tokens, ids text, text decoded from the ids."""
         if self.special is None or "<|" not in text:
             return self._plain(text)
         out: list[tuple[int, str, str]] = []
         for piece in self.special.split(text):
-            out += [(1, str(self.specials[piece]), piece)] if piece in self.specials else self._plain(piece)
+            out += [(1, str(self.specials[piece]), self.decode([self.specials[piece]]))] if piece in self.specials else self._plain(piece)
         return out
 
     def _plain(self, text: str) -> list[tuple[int, str, str]]:
         if not text.isascii():
             # one lower case per character, whatever stands around it
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        words = self.words
-        return [words[w] for w in self.split.findall(text.lower())]
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").translate(LOWER)
+        words, split = self.words, self.split
+        if not text.isascii() and self.newer.search(text):
+            split = self.split_newer
+        return [words[w] for w in split.findall(text.lower())]
 
     def decode(self, ids: list[int]) -> str:
         """The arcs' labels, joined by blanks: the file names no decoder."""
@@ -186,6 +215,19 @@ class Tokenizer:
 #: Fixed value: the white space that the splitting pattern's \\s stands for, as a set's inside.
 BLANKS = r"\t-\r\x20\x85\xa0  -     　"
 
+#: What is a letter or a number to the regex module, but neither to the tokenizers library, whose
+#: classes are those of Unicode 16.
+NEWER_RANGES = """
+0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE
+11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20
+18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2
+1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+"""
+NEWER = "".join("-".join(f"\\U{int(x, 16):08x}" for x in r.split("-")) for r in NEWER_RANGES.split())
+#: Lower case of the capitals that Unicode 16 and 17 added.
+LOWER = ({0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+         | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)})
+
 _LOADED: dict[str, Tokenizer] = {}
 
 
@@ -223,10 +265,11 @@ def encode(docs: DataFrame, spec_text: str, with_ids: bool = True) -> DataFrame:
             rows, size = [], 0
             for doc_id, text in zip(b["doc_id"].astype("Int64"), b["text"]):
                 got = tok.encode(text) if text else []
-                ids, n = " ".join([g[1] for g in got]), sum([g[0] for g in got])
-                numbers = list(map(int, ids.split()))
-                row = [None if doc_id is pd.NA else doc_id, n, _digest(ids), _digest(tok.decode(numbers))]
-                rows.append(row + [np.array(numbers, np.int32)] if with_ids else row)
+                # words are decoded from their ids when they are first met
+                n, ids, decoded = zip(*got) if got else ((), (), ())
+                n, ids = sum(n), " ".join(ids)
+                row = [None if doc_id is pd.NA else doc_id, n, _digest(ids), _digest(" ".join(decoded))]
+                rows.append(row + [np.array(ids.split(), np.int32)] if with_ids else row)
                 size += n
                 if size >= MAX_OUT:
                     yield frame(rows)

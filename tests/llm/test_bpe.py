@@ -90,3 +90,16 @@ def test_decoded_digest_is_formed_from_the_ids(spark):
     row = bpe.encode(df, json.dumps(spec), with_ids=False).first()
     text = f"a{end} {spec['added_tokens'][0]['content']}"
     assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_every_code_point_splits_as_in_the_library(library):
+    tok = bpe.tokenizer(word_bpe_spec())
+    # every code point, of the long runs of one class (and the planes without any) one in 97
+    runs = ((0x3500, 0x9F00), (0xAC10, 0xD790), (0xD800, 0xE000), (0xE100, 0xF800), (0x17100, 0x18700), (0x20100, 0x2A600), (0x30100, 0x31300),
+            (0x34000, 0x3C000), (0x40000, 0x110000))
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c % 97 == 0 or not any(lo <= c < hi for lo, hi in runs))]
+    texts = [" ".join(f"a{chr(c)}b1{chr(c)}2!{chr(c)}" for c in points[lo:lo + 64]) for lo in range(0, len(points), 64)]
+    wanted = library.encode_batch(texts, add_special_tokens=False)
+    differ = [hex(points[64 * i]) for i, (text, want) in enumerate(zip(texts, wanted))
+              if " ".join(g[1] for g in tok.encode(text)) != " ".join(map(str, want.ids))]
+    assert differ == []
