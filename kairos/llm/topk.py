@@ -3,13 +3,18 @@
 Candidates are range-partitioned by length and packed into blocks, longest
 first. The first block, whose size is fixed, is broadcast and gives every
 query a score to beat. A query block then meets only the candidate blocks
-whose longest vector, times a query's length, can still reach that score.
-Inside, both sides are rotated so that the first coordinates carry most of
-the length (the right singular vectors of the candidates); after some of them
-the sum so far plus the product of the remaining lengths bounds the score, and
-only candidates that may reach the score to beat go on. Survivors are scored
-in integers. A bound is never below the true score (it has a margin for
-rounding) and ties are kept, so the result is exact.
+whose longest vector, times a query's length, can still reach that score;
+lengths have classes (eighths of a power of two), so these blocks are found by
+an equi-join on the classes at or above the one needed. Inside, both sides
+are rotated so that the first coordinates carry most of the length (the right
+singular vectors of the candidates); after some of them the sum so far plus
+the product of the remaining lengths bounds the score. Bounds are taken on
+whole blocks of sums; once few pairs are left, only those go on. Survivors are
+scored in integers. A bound is never below the true score (it has a margin
+for rounding) and ties are kept, so the result is exact.
+
+Candidate blocks are shuffled once; the smaller query blocks go to them. Both
+travel as packed numbers.
 
 Components x become floor(scale * x). Scores must stay below 2^53.
 
@@ -23,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairos.llm import vectors as V
@@ -32,28 +37,38 @@ from kairos.llm.common import materialize
 BLOCK = 4_096         # candidates per block
 QUERY_BLOCK = 512
 STEPS = (8, 24)       # coordinates summed before a bound is taken
+FEW = 0.05            # share of pairs that are scored one by one
 MARGIN = 1e-6         # relative, on bounds in floating point
+SHORTEST = -10_000    # class of length 0
 
 
 def best_in_block(q: np.ndarray, theta: np.ndarray, c: np.ndarray, ids: np.ndarray, rotation: np.ndarray, keep: int):
     """(query row, candidate row, score) of at most ``keep`` best candidates per query that reach ``theta``; ties to smaller ids."""
     rq, rc = q @ rotation, c @ rotation
-    rows, cols = np.nonzero(np.ones((len(q), len(c)), bool))
-    sums, done = np.zeros(len(rows)), 0
-    slack = MARGIN * (1 + np.linalg.norm(q, axis=1)[rows] * np.linalg.norm(c, axis=1)[cols])
+    slack = MARGIN * (1 + np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :])
+    live, sums, done = None, np.zeros((len(q), len(c))), 0
     for upto in STEPS:
         upto = min(upto, rq.shape[1])
-        part = rq[:, done:upto] @ rc[:, done:upto].T
-        rest = np.linalg.norm(rq[:, upto:], axis=1)[rows] * np.linalg.norm(rc[:, upto:], axis=1)[cols]
-        sums = sums + part[rows, cols]
-        live = sums + rest + slack >= theta[rows]
-        rows, cols, sums, slack, done = rows[live], cols[live], sums[live], slack[live], upto
-    score = np.empty(len(rows))
-    for lo in range(0, len(rows), 1 << 18):
-        part = slice(lo, lo + (1 << 18))
-        score[part] = np.einsum("ij,ij->i", q[rows[part]], c[cols[part]])  # whole numbers below 2^53: exact
-    live = score >= theta[rows]
-    rows, cols, score = rows[live], cols[live], score[live]
+        sums += rq[:, done:upto] @ rc[:, done:upto].T
+        rest = np.linalg.norm(rq[:, upto:], axis=1)[:, None] * np.linalg.norm(rc[:, upto:], axis=1)[None, :]
+        live, done = sums + rest + slack >= theta[:, None], upto
+        if live.mean() <= FEW:
+            break
+    if live.mean() <= FEW:
+        rows, cols = np.nonzero(live)
+        score = np.empty(len(rows))
+        for lo in range(0, len(rows), 1 << 16):
+            part = slice(lo, lo + (1 << 16))
+            score[part] = np.einsum("ij,ij->i", q[rows[part]], c[cols[part]])
+        reach = score >= theta[rows]
+        rows, cols, score = rows[reach], cols[reach], score[reach]
+    else:
+        whole = q @ c.T  # whole numbers below 2^53: exact in any order
+        limit = theta
+        if len(c) > keep:
+            limit = np.maximum(theta, np.partition(whole, len(c) - keep, axis=1)[:, len(c) - keep])
+        rows, cols = np.nonzero(whole >= limit[:, None])
+        score = whole[rows, cols]
     order = np.lexsort((ids[cols], -score, rows))
     rows, cols, score = rows[order], cols[order], score[order]
     first = np.searchsorted(rows, rows)
@@ -61,18 +76,28 @@ def best_in_block(q: np.ndarray, theta: np.ndarray, c: np.ndarray, ids: np.ndarr
     return rows[top], cols[top], score[top]
 
 
-def _pack(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Sorted rows to blocks of at most ``size``; ``length`` is the longest in a block."""
+def length_class(length: Column) -> Column:
+    """A whole number that grows with the length, eight to a power of two."""
+    return F.when(length > 0, F.floor(F.log2(length) * 8)).otherwise(SHORTEST).cast("int")
+
+
+def _pack(rows: DataFrame, size: int, width: int, name: str) -> DataFrame:
+    """Sorted rows to blocks of at most ``size``: ids and vectors as packed numbers; ``length`` is the longest in a block."""
     def work(batches):
         for b in batches:
             for lo in range(0, len(b), size):
                 part = b.iloc[lo:lo + size]
-                yield pd.DataFrame([{"gids": part["gid"].tolist(), "vecs": [v.tolist() for v in part["vec"]],
+                yield pd.DataFrame([{"gids": part["gid"].to_numpy(np.int64).tobytes(), "vecs": V.matrix(part["vec"], width).tobytes(),
                                      "length": float(part["length"].max())}])
-    packed = rows.select("gid", "vec", "length").mapInPandas(work, "gids array<long>, vecs array<array<double>>, length double")
+    packed = rows.select("gid", "vec", "length").mapInPandas(work, "gids binary, vecs binary, length double")
     return materialize(packed.withColumn("block", F.monotonically_increasing_id()), name)
 
 
+def _unpack(gids: bytes, vecs: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(gids, np.int64)
+    return ids, np.frombuffer(vecs, np.float64).reshape(len(ids), -1)
+
+
 def search(rows: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: each query's k best candidates (queries: ids divisible by ``every``)."""
     keep = k + 1
@@ -87,10 +112,10 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0) -
     sized = groups.withColumn("length", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))
     parts = max(1, -(-n // BLOCK))
     candidates = _pack(sized.repartitionByRange(parts, F.desc("length"), "gid").sortWithinPartitions(F.desc("length"), "gid"),
-                       BLOCK, "candidates")
+                       BLOCK, width, "candidates")
     asked = sized.join(members.select("gid").distinct(), "gid", "left_semi")
     queries = _pack(asked.repartitionByRange(max(1, -(-n // (QUERY_BLOCK * every))), F.desc("length"), "gid")
-                    .sortWithinPartitions(F.desc("length"), "gid"), QUERY_BLOCK, "queries")
+                    .sortWithinPartitions(F.desc("length"), "gid"), QUERY_BLOCK, width, "queries")
     # the longest candidates, BLOCK at most, whatever the input
     head = [tuple(r) for r in sized.orderBy(F.desc("length"), "gid").limit(BLOCK).select("gid", "vec").collect()]
     head_ids = np.array([g for g, _ in head], np.int64)
@@ -99,7 +124,7 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0) -
     def aim(batches):
         for b in batches:
             for gids, vecs, block in zip(b["gids"], b["vecs"], b["block"]):
-                q = V.matrix(vecs, width)
+                _, q = _unpack(gids, vecs)
                 got, _, score = best_in_block(q, np.full(len(q), -np.inf), head_vecs, head_ids, rotation, keep)
                 theta = np.full(len(q), -np.inf)
                 for i in np.unique(got):
@@ -109,26 +134,25 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0) -
                 length = np.linalg.norm(q, axis=1)
                 # the shortest candidate length that some query of the block can use
                 need = np.where(length > 0, theta / np.where(length > 0, length, 1), np.where(theta > 0, np.inf, -np.inf)).min(initial=np.inf)
-                yield pd.DataFrame([{"query_block": block, "gids": gids, "vecs": [v.tolist() for v in vecs],
-                                     "theta": theta.tolist(), "need": float(need)}])
+                yield pd.DataFrame([{"query_block": block, "gids": gids, "vecs": vecs, "theta": theta.tobytes(), "need": float(need)}])
     aimed = materialize(queries.mapInPandas(
-        aim, "query_block long, gids array<long>, vecs array<array<double>>, theta array<double>, need double"), "aimed")
-    # block numbers only: each query block by each candidate block, of which those that can't matter go at once
-    numbered = materialize(candidates.withColumn("slot", F.row_number().over(Window.orderBy(F.desc("length"), "block")) - 1)
-                           .select("block", "slot", "length"), "slots")
-    slots = numbered.count()
-    pairs = (aimed.select("query_block", "need", F.explode(F.sequence(F.lit(0), F.lit(max(0, slots - 1)))).alias("slot"))
-             .join(numbered, "slot").where(F.col("length") * (1 + MARGIN) + MARGIN >= F.col("need")).select("query_block", "block"))
-    both = pairs.join(candidates.select("block", F.col("gids").alias("cand_gids"), F.col("vecs").alias("cand_vecs")), "block").join(
-        aimed.drop("need"), "query_block")
+        aim, "query_block long, gids binary, vecs binary, theta binary, need double"), "aimed")
+    reach = candidates.select("block", "length", length_class(F.col("length")).alias("class"))
+    # classes that occur: lengths of doubles have 17,000 at most
+    classes = F.array(*[F.lit(r["class"]) for r in reach.select("class").distinct().orderBy("class").collect()])
+    # each query block by the classes it needs, lowered by one for rounding; then by the blocks of those
+    wanted = aimed.withColumn("from_class", length_class(F.col("need")) - 1).select(
+        "query_block", "need", F.explode(F.filter(classes, lambda x: x >= F.col("from_class"))).alias("class"))
+    pairs = wanted.join(reach, "class").where(F.col("length") * (1 + MARGIN) + MARGIN >= F.col("need")).select("query_block", "block")
+    both = (pairs.join(aimed.drop("need"), "query_block").repartition("block", "query_block")
+            .join(candidates.select("block", F.col("gids").alias("cand_gids"), F.col("vecs").alias("cand_vecs")), "block"))
 
     def meet(batches):
         for b in batches:
-            for r in b.to_dict("records"):
-                ids = np.asarray(r["cand_gids"], np.int64)
-                i, j, score = best_in_block(V.matrix(r["vecs"], width), np.asarray(r["theta"], float), V.matrix(r["cand_vecs"], width),
-                                            ids, rotation, keep)
-                yield pd.DataFrame({"gid": np.asarray(r["gids"], np.int64)[i], "cand": ids[j], "score": score.astype(np.int64)})
+            for gids, vecs, theta, cand_gids, cand_vecs in zip(b["gids"], b["vecs"], b["theta"], b["cand_gids"], b["cand_vecs"]):
+                (own, q), (ids, c) = _unpack(gids, vecs), _unpack(cand_gids, cand_vecs)
+                i, j, score = best_in_block(q, np.frombuffer(theta, np.float64), c, ids, rotation, keep)
+                yield pd.DataFrame({"gid": own[i], "cand": ids[j], "score": score.astype(np.int64)})
     found = both.mapInPandas(meet, "gid long, cand long, score long")
     best = found.withColumn("place", F.row_number().over(Window.partitionBy("gid").orderBy(F.desc("score"), "cand"))).where(
         F.col("place") <= keep).join(groups.select(F.col("gid").alias("cand"), "ids"), "cand")
