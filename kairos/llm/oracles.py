@@ -138,7 +138,7 @@ def _urls(rules=urls.RULES) -> str:
     lower = lambda c: f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     link = urls.LINK.replace("'", "''")
     rounds = "".join(f""",
-r{i} AS MATERIALIZED (SELECT s.kind, s.a, CASE WHEN moves THEN {1 - urls.DAMPING!r}::DOUBLE * seed + {urls.DAMPING}::DOUBLE * coalesce(came, 0) ELSE seed END AS mass
+r{i} AS MATERIALIZED (SELECT s.kind, s.a, {1 - urls.DAMPING!r}::DOUBLE * seed + {urls.DAMPING}::DOUBLE * coalesce(came, 0) AS mass
   FROM seeds s LEFT JOIN (SELECT f.kind, f.b, sum(mass * part) AS came FROM flow f JOIN r{i - 1} r ON r.kind = f.kind AND r.a = f.a
     GROUP BY f.kind, f.b) c ON c.kind = s.kind AND c.b = s.a)""" for i in range(1, urls.ROUNDS + 1))
     return f"""
@@ -156,14 +156,16 @@ edges AS MATERIALIZED (SELECT a, b, sum(n)::DOUBLE AS n FROM (
   SELECT a, b, n FROM links UNION ALL SELECT a, b, 1 FROM family UNION ALL SELECT b, a, 1 FROM family) GROUP BY a, b),
 both_ways AS (SELECT 'trust' AS kind, a, b, n FROM edges UNION ALL SELECT 'distrust', b, a, n FROM edges),
 flow AS MATERIALIZED (SELECT kind, a, b, n / sum(n) OVER (PARTITION BY kind, a) AS part FROM both_ways),
-said AS (SELECT host AS a, sum(CASE WHEN judged = 'allow' THEN 1.0 WHEN judged IS NULL THEN {urls.UNJUDGED} ELSE 0.0 END)::DOUBLE AS trust,
-  sum(CASE WHEN judged = 'block' THEN 1.0 ELSE 0.0 END)::DOUBLE AS distrust FROM p GROUP BY host),
-kinds AS (SELECT 'trust' AS kind, a, trust AS seed FROM said UNION ALL SELECT 'distrust', a, distrust FROM said),
-seeds AS MATERIALIZED (SELECT kind, a, coalesce(seed, 0)::DOUBLE AS seed, coalesce(moves, false) AS moves
-  FROM kinds FULL JOIN (SELECT DISTINCT kind, a, true AS moves FROM flow) USING (kind, a)),
+said AS (SELECT host AS a, count(*) FILTER (WHERE judged = 'allow') AS trust, count(*) FILTER (WHERE judged = 'block') AS distrust FROM p GROUP BY host),
+kinds AS (SELECT kind, a, seed * coalesce((SELECT count(*) FROM p) / nullif(sum(seed) OVER (PARTITION BY kind), 0), 0)::DOUBLE AS seed
+  FROM (SELECT 'trust' AS kind, a, trust::DOUBLE AS seed FROM said UNION ALL SELECT 'distrust', a, distrust::DOUBLE FROM said)),
+seeds AS MATERIALIZED (SELECT kind, a, coalesce(seed, 0)::DOUBLE AS seed
+  FROM kinds FULL JOIN (SELECT kind, a FROM flow UNION SELECT kind, b FROM flow) USING (kind, a)),
 r0 AS (SELECT kind, a, seed AS mass FROM seeds){rounds},
+ranks AS (SELECT kind, a, mass * coalesce(sum(seed) OVER (PARTITION BY kind) / nullif(sum(mass) OVER (PARTITION BY kind), 0), 0) AS mass
+  FROM r{urls.ROUNDS} JOIN seeds USING (kind, a)),
 scores AS (SELECT a AS host, sum(CASE WHEN kind = 'trust' THEN mass ELSE 0 END) AS trust,
-  sum(CASE WHEN kind = 'distrust' THEN mass ELSE 0 END) AS distrust FROM r{urls.ROUNDS} GROUP BY a)
+  sum(CASE WHEN kind = 'distrust' THEN mass ELSE 0 END) AS distrust FROM ranks GROUP BY a)
 SELECT page_id, host, path, rule, coalesce(judged, CASE WHEN round(distrust - {urls.THRESHOLD} * (trust + distrust), 9) > 0
   THEN 'block' ELSE 'allow' END) AS verdict, round(trust, 6) AS trust, round(distrust, 6) AS distrust
 FROM p LEFT JOIN scores USING (host)"""

@@ -10,10 +10,13 @@ host's verdict, which comes from the link graph:
   rules allow. Distrust is the same on the reversed edges, seeded by the pages
   that rules block: who links to blocked hosts is distrusted. Both seeds are
   scaled to the same sum, the number of pages (0 if no page was judged so);
-  pages no rule judges say nothing for their host. Every host that an
-  edge touches receives; what arrives at a host without a way on stays there
-  for that round and is not dealt out again. Hosts without links keep what
-  they hold.
+  pages no rule judges say nothing for their host. Every host receives. What a
+  host without a way on holds goes back to the seeds: a rank is scaled up to
+  its seeds' sum at the end, which is the same as dealing it out by the seeds
+  in every round.
+* ``ROUNDS`` follows from ``TOLERANCE``: a round leaves ``DAMPING`` of what is
+  not settled, so after all rounds that is at most TOLERANCE of the sum, for
+  any graph, and mass has gone as many links far.
 * A host is blocked if its distrust is more than ``THRESHOLD`` of the sum; a
   host that neither rank reaches is allowed.
 
@@ -29,6 +32,8 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +44,8 @@ LINK = r"""(?i)(?:href|src)[ \t]*=[ \t]*["']?(?:https?:)?//([^/?#"'<>\\ \t\r\n]+
 PARENT = r"^[^.]+\.([^.]+\..+)$"  # of a host of three labels or more
 # (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DAMPING, ROUNDS, ROUNDS_A_TABLE = 0.85, 16, 4
-UNJUDGED = 0.5      # read by the SQL oracle alone, which still seeds trust by pages no rule judges
+DAMPING, TOLERANCE, ROUNDS_A_TABLE = 0.85, 1e-3, 4
+ROUNDS = ceil(log(TOLERANCE) / log(DAMPING))
 THRESHOLD = 0.5
 
 
@@ -97,16 +102,18 @@ def host_scores(pages: DataFrame) -> DataFrame:
     seeds = said.select(F.col("host").alias("a"), F.explode(F.create_map(*[
         x for k in say for x in (F.lit(k), F.col(k) * F.lit(scale[k]))])).alias("kind", "seed"))
     nodes = flow.select("kind", "a").unionByName(flow.select("kind", F.col("b").alias("a"))).distinct()
-    seeds = materialize(seeds.join(nodes.withColumn("linked", F.lit(True)), ["kind", "a"], "full").select(
-        "kind", "a", F.coalesce("seed", F.lit(0.0)).alias("seed"), F.coalesce("linked", F.lit(False)).alias("linked")), "seeds")
+    seeds = materialize(seeds.join(nodes, ["kind", "a"], "full").select("kind", "a", F.coalesce("seed", F.lit(0.0)).alias("seed")), "seeds")
     ranks = seeds.select("kind", "a", F.col("seed").alias("mass"))
     for r in range(1, ROUNDS + 1):
         came = flow.join(ranks, ["kind", "a"]).groupBy("kind", "b").agg(F.sum(F.col("mass") * F.col("part")).alias("came"))
-        ranks = (seeds.join(came.withColumnRenamed("b", "a"), ["kind", "a"], "left").select(
-            "kind", "a", F.when(F.col("linked"), (1 - DAMPING) * F.col("seed") + DAMPING * F.coalesce("came", F.lit(0.0)))
-            .otherwise(F.col("seed")).alias("mass")))
-        if r % ROUNDS_A_TABLE == 0:
+        ranks = seeds.join(came.withColumnRenamed("b", "a"), ["kind", "a"], "left").select(
+            "kind", "a", ((1 - DAMPING) * F.col("seed") + DAMPING * F.coalesce("came", F.lit(0.0))).alias("mass"))
+        if r % ROUNDS_A_TABLE == 0 or r == ROUNDS:
             ranks = materialize(ranks, "ranks")
+    # two numbers: what of either rank has gone to hosts without a way on
+    held = {r["kind"]: r["held"] for r in ranks.groupBy("kind").agg(F.sum("mass").alias("held")).collect()}
+    up = {k: sums["pages"] / held[k] if sums[k] and held.get(k) else 0.0 for k in say}
+    ranks = ranks.withColumn("mass", F.col("mass") * F.when(F.col("kind") == "trust", up["trust"]).otherwise(up["distrust"]))
     return ranks.groupBy(F.col("a").alias("host")).agg(*[
         F.sum(F.when(F.col("kind") == k, F.col("mass")).otherwise(0.0)).alias(k) for k in say])
 
