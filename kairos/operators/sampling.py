@@ -104,9 +104,18 @@ def train_test_split(df: DataFrame, group_col: str, seed, keys: list[str],
     return train.drop("_h"), test.drop("_h")
 
 
-def seeded_shuffle(df: DataFrame, seed, key: str) -> DataFrame:
-    """Global seeded order (R5); only meaningful when written in order."""
-    return df.orderBy(hash_key(seed, key))
+def seeded_shuffle(df: DataFrame, seed, key: str, position: str | None = None) -> DataFrame:
+    """Global seeded order (R5), for rows written in order; with ``position`` also each row's place, from 0.
+
+    The order goes by the key's hash: places are offsets of hash ranges plus
+    the place inside a range, so no task numbers all rows. Rows of equal keys
+    follow their content.
+    """
+    x = df.withColumn("_h", hash_key(seed, key))
+    if position is None:
+        return x.orderBy("_h").drop("_h")
+    x = x.withColumn("_b", F.substring("_h", 1, BUCKET_DIGITS)).withColumn("_h", F.struct("_h", F.to_json(F.struct(*df.columns))))
+    return numbered(x, ["_b"], "_h", position).orderBy(position).drop("_b", "_h")
 
 
 def numbered(df: DataFrame, buckets: list, order_col: str, out: str = "pos") -> DataFrame:
@@ -122,20 +131,46 @@ def numbered(df: DataFrame, buckets: list, order_col: str, out: str = "pos") ->
     return (df.join(offsets, buckets).withColumn(out, (F.col("_o") + F.row_number().over(place) - 1).cast("long")).drop("_o"))
 
 
-def next_prime(n: int) -> int:
-    n = max(2, n)
-    while any(n % d == 0 for d in range(2, int(n ** 0.5) + 1)):
-        n += 1
-    return n
+ROUNDS = 8                 # of the permutation; keys are 28 bits of a hash each
+MODULUS = 2 ** 31 - 1      # of the round function; products stay below 2^62
+MIN_SIDE, SIDES = 8, 15    # shortest side of a grid of positions; sides tried beyond the square root
+
+
+def order_shape(n: Column) -> Column:
+    """struct<a, b>: sides of the grid of entries for a population of n, a * b >= n and as close to n as a few sides allow.
+
+    Entries whose position is n or more name nothing and are passed over (the
+    order of the others is what walking on along the cycle would give), so
+    ``k`` members need at most ``k + a * b - n`` entries.
+    """
+    side = F.greatest(F.lit(MIN_SIDE), F.ceil(F.sqrt(n))).cast("bigint")
+    other = lambda a: F.greatest(F.lit(MIN_SIDE), F.ceil((n + a - 1 - F.pmod(n + a - 1, a)) / a)).cast("bigint")
+    tried = F.transform(F.sequence(F.lit(0), F.least(F.lit(SIDES), F.floor((side - 1) / 2)).cast("int")), lambda i: F.struct(
+        ((side + i) * other(side + i) - n).alias("spare"), (side + i).alias("a"), other(side + i).alias("b")))
+    return F.array_min(tried)
+
+
+def order_keys(seed, key: str) -> Column:
+    """array<bigint>: the round keys of a key's own order; work them out once per key, before entries are listed."""
+    words = [F.conv(F.substring(hash_key(f"{seed}|order{i}", key), 1 + 7 * k, 7), 16, 10).cast("bigint") for i in range(ROUNDS // 4) for k in range(4)]
+    return F.array(*words)
 
 
-def drawn_positions(j, seed, key: str, prime) -> Column:
-    """Entry j of a key's own order of [0, prime): a + b*j modulo a prime, with a and b from the key's hash.
+def drawn_positions(df: DataFrame, j: str, keys: str, a: str, b: str, out: str = "pos") -> DataFrame:
+    """Add ``out``: the position that entry ``j`` (0 .. a*b-1) of an order names; a keyed permutation of the grid a x b.
 
-    Distinct for j below the prime, uniform, and pairwise independent over
-    entries; entries at or beyond the population are skipped by the caller.
+    A Feistel network over the two digits of an entry: each round adds a keyed
+    cubic of one digit to the other, modulo that digit's side, so every round
+    is one-to-one whatever the function. Rounds are projections of their own,
+    which keeps the expression's size linear in the rounds, and the result
+    passes a generator: a filter or join on it would otherwise be pushed
+    below all rounds as one expression that has them many times over.
     """
-    prime = F.lit(prime) if isinstance(prime, int) else prime
-    step = F.conv(F.substring(hash_key(f"{seed}|step", key), 1, 13), 16, 10).cast("bigint") % (prime - 1) + 1
-    start = F.conv(F.substring(hash_key(f"{seed}|start", key), 1, 13), 16, 10).cast("bigint") % prime
-    return (start + step * j) % prime
+    names = df.columns
+    x = df.withColumns({"_u": F.floor(F.col(j) / F.col(b)).cast("bigint"), "_v": F.pmod(F.col(j), F.col(b))})
+    sides = [F.col(a), F.col(b)]
+    for i in range(ROUNDS):
+        x = x.withColumn("_x", (F.col("_v") + F.get(F.col(keys), F.lit(i))) % MODULUS)
+        mixed = F.col("_x") * F.col("_x") % MODULUS * F.col("_x") % MODULUS
+        x = x.select(*names, F.col("_v").alias("_u"), ((F.col("_u") + mixed) % sides[i % 2]).alias("_v"))
+    return x.select(*names, F.explode(F.array(F.col("_u") * F.col(b) + F.col("_v"))).alias(out))

@@ -87,18 +87,17 @@ def numbered_assets(assets: DataFrame, seed=SEED) -> tuple[DataFrame, int]:
 
 
 def draw_assets(wanted: DataFrame, assets: DataFrame, key: str, seed) -> DataFrame:
-    """(``key``, j, ISIN): the first ``need`` assets of each key's own order of all assets. ``wanted``: (key, need).
+    """(``key``, j, ISIN): the first ``need`` assets, and a few more, of each key's own order of all assets. ``wanted``: (key, need).
 
-    Every key has its own order; the cost is the entries drawn, never keys x
-    assets. A few entries more are drawn (the distance to the next prime),
-    as some name no asset.
+    Every key has its own permutation; the cost is the entries drawn, never
+    keys x assets.
     """
     pool, m = numbered_assets(assets, seed)
-    prime = sampling.next_prime(m)
-    last = F.least(F.col("need") + F.lit(prime - m), F.lit(prime)).cast("long")
-    entries = (wanted.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), last - 1)))
-               .withColumn("pos", sampling.drawn_positions(F.col("j"), seed, key, prime)))
-    return entries.where(F.col("pos") < m).join(pool, "pos").select(key, "j", "ISIN")
+    x = wanted.withColumns({"_n": F.lit(m).cast("bigint"), "_keys": sampling.order_keys(seed, key)}).withColumn("_s", sampling.order_shape(F.col("_n")))
+    x = x.select(key, "need", "_n", "_keys", "_s.*").where("_n > 0")
+    last = F.least(F.col("need") + F.col("spare"), F.col("a") * F.col("b"))
+    entries = sampling.drawn_positions(x.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), last - 1))), "j", "_keys", "a", "b")
+    return entries.where(F.col("pos") < F.col("_n")).select(key, "j", "pos").join(pool, "pos").select(key, "j", "ISIN")
 
 
 def bad_assets(labels: Labels, assets: DataFrame, k: int = MAX_RECOMMENDATIONS, seed=SEED) -> DataFrame:

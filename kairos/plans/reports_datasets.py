@@ -114,12 +114,11 @@ TRAIN = {**SAMPLED,
                                 ORDER BY {sql_hash(f'{S}|good', 'example_id', 'ISIN')}) <= 20""",
          "anum": f"""SELECT ISIN, row_number() OVER (ORDER BY {sql_hash(f'{S}|bad|asset', 'ISIN')}) - 1 AS pos
                      FROM (SELECT DISTINCT ISIN FROM close_prices)""",
-         "amod": V.prime_sql("SELECT count(*) AS m FROM anum"),
-         "badpick": f"""SELECT e.example_id, a.ISIN FROM (
-                          SELECT example_id, j, {V.drawn_sql(f'{S}|bad', 'example_id', 'j')} AS pos
-                          FROM (SELECT example_id, unnest(range(0, least(need + p - m, p))) AS j, p FROM (
-                            SELECT example_id, count(*) + 20 AS need FROM tgood GROUP BY 1), amod)) e JOIN anum a USING (pos)
-                        WHERE NOT EXISTS (SELECT 1 FROM tgood g WHERE g.example_id = e.example_id AND g.ISIN = a.ISIN)
+         "badentry": f"""SELECT example_id, need, s, m, unnest(range(0, least(need + s.spare, s.a * s.b))) AS j FROM (
+                           SELECT example_id, count(*) + 20 AS need FROM tgood GROUP BY 1),
+                           (SELECT m, {V.shape_sql('m')} AS s FROM (SELECT count(*) AS m FROM anum)) WHERE m > 0""",
+         "badpick": f"""SELECT e.example_id, a.ISIN FROM ({V.drawn_sql("SELECT * FROM badentry", f'{S}|bad', 'example_id', 'j')}) e JOIN anum a USING (pos)
+                        WHERE e.pos < e.m AND NOT EXISTS (SELECT 1 FROM tgood g WHERE g.example_id = e.example_id AND g.ISIN = a.ISIN)
                         QUALIFY row_number() OVER (PARTITION BY e.example_id ORDER BY e.j) <= 20"""}
 
 

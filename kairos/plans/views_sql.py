@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from kairos.functions.hashing import sql_hash
 from kairos.functions.dates import HORIZON_DAYS, TEST_GRID, TRAIN_GRID
+from kairos.operators.sampling import MIN_SIDE, MODULUS, ROUNDS, SIDES
 
 
 def isin(col: str) -> str:
@@ -114,13 +115,20 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     return f"WITH {head}\n{body}"
 
 
-def prime_sql(count_sql: str) -> str:
-    """(m, p): a count and the smallest prime not below it."""
-    return f"""SELECT m, min(x) AS p FROM (SELECT m, unnest(range(greatest(m, 2), m + 2000)) AS x FROM ({count_sql}))
-               WHERE NOT EXISTS (SELECT 1 FROM range(2, 50000) r(d) WHERE d * d <= x AND x % d = 0) GROUP BY m"""
+def shape_sql(n: str) -> str:
+    """(a, b, spare) of a population's grid, as in ``sampling.order_shape``; ``n`` is a column of the row selected from."""
+    side = f"greatest({MIN_SIDE}, ceil(sqrt({n})))::BIGINT"
+    return f"""list_min(list_transform(range(0, least({SIDES}, ({side} - 1) // 2) + 1), lambda i: {{
+               'spare': ({side} + i) * greatest({MIN_SIDE}, ({n} + {side} + i - 1) // ({side} + i)) - {n}, 'a': {side} + i,
+               'b': greatest({MIN_SIDE}, ({n} + {side} + i - 1) // ({side} + i))}}))"""
 
 
-def drawn_sql(seed, key: str, j: str, p: str = "p") -> str:
-    """Entry j of a key's own order modulo a prime."""
-    word = lambda what: f"('0x' || substr({sql_hash(f'{seed}|{what}', key)}, 1, 13))::BIGINT"
-    return f"(({word('start')} % {p}) + ({word('step')} % ({p} - 1) + 1) * {j}) % {p}"
+def drawn_sql(rel: str, seed, key: str, j: str, shape: str = "s") -> str:
+    """``rel`` with ``pos``: the position of entry ``j`` of the key's own order of the grid in struct ``shape``."""
+    words = [f"('0x' || substr(h{i}, {1 + 7 * k}, 7))::BIGINT" for i in range(ROUNDS // 4) for k in range(4)]
+    cols = [f"{sql_hash(f'{seed}|order{i}', key)} AS h{i}" for i in range(ROUNDS // 4)]
+    cols += [f"{j} // {shape}.b AS v_0", f"{j} % {shape}.b AS v_1"]  # v_i+1 is what round i reads, v_i what it adds to
+    for i, word in enumerate(words):
+        cols.append(f"(v_{i + 1} + {word}) % {MODULUS} AS x_{i}")
+        cols.append(f"(v_{i} + x_{i} * x_{i} % {MODULUS} * x_{i} % {MODULUS}) % {shape}.{'ab'[i % 2]} AS v_{i + 2}")
+    return f"SELECT *, v_{ROUNDS} * {shape}.b + v_{ROUNDS + 1} AS pos FROM (SELECT *, {', '.join(cols)} FROM ({rel}))"
