@@ -14,8 +14,8 @@ label was copied from (first parts of t). Arcs are put into the transition
 table when first needed; the table is bounded.
 
 The automaton is deterministic over tokens and every string of symbols has
-exactly one accepted path. Labels are spelled by a second table, (node,
-symbol) to node, compiled once: from a position it is driven symbol by symbol
+exactly one accepted path. Labels are spelled by a second table, node and
+symbol to node, compiled once: from a position it is driven symbol by symbol
 and names the labels that start there. Encoding follows the longest that the
 state has an arc for and, at a dead end, goes back to the next shorter; no
 position is entered twice, which keeps it linear in the word.
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 
 import numpy as np
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame
 from kairos.llm.common import pick
 
 NEVER = 1 << 60
+INNER, FINAL = "inner", "final"  # symbols are single characters
 MAX_WORDS = 200_000     # encoded words kept per task; the table starts anew beyond it
 MAX_ARCS = 1_000_000    # arcs kept per task
 MAX_CACHED_WORD = 64    # longer words are encoded each time
@@ -59,25 +61,20 @@ class TokenAutomaton:
         for number, (u, v) in enumerate(merges):
             self._gadget(number, u, v)
         # labels (base symbols and what gadgets made) by what they spell inside a word and at its end
-        self.spell: dict[tuple[int, str], int] = {}
-        self.inner: dict[int, str] = {}
-        self.final: dict[int, str] = {}
+        # the spelling table: a node is a row of it, symbol to node; INNER and FINAL hold the label spelled there
+        self.start: dict = {}
         for t in vocab:
             if self._made(t):
                 at_end = t.endswith(suffix)
-                (self.final if at_end else self.inner)[self._node(t.removesuffix(suffix) if at_end else t)] = t
+                node = self.start
+                for x in t.removesuffix(suffix) if at_end else t:
+                    node = node.setdefault(x, {})
+                node[FINAL if at_end else INNER] = t
         self.arcs: dict[tuple[str, str], bool] = {}
 
     def _made(self, t: str) -> bool:
         return t in self.parts or len(t) == 1 or len(t) == 1 + len(self.suffix) and t.endswith(self.suffix)
 
-    def _node(self, symbols: str) -> int:
-        """The spelling table's node after ``symbols``, put in where missing (0: start)."""
-        node = 0
-        for x in symbols:
-            node = self.spell.setdefault((node, x), len(self.spell) + 1)
-        return node
-
     def _gadget(self, number: int, u: str, v: str) -> None:
         if not (self._made(u) and self._made(v) and self._arc(u, v)):
             return  # no path to merge: a label that never arises, or earlier merges keep v from standing after u
@@ -114,39 +111,51 @@ class TokenAutomaton:
             known = self.arcs[key] = self._arc(state, label)
         return known
 
-    def labels_from(self, word: str, at: int) -> list[tuple[int, str]]:
-        """(end, label) of every label that spells ``word`` from ``at``, shortest first."""
-        out, node, spell, inner = [], 0, self.spell, self.inner
-        for to in range(at + 1, len(word) + 1):
-            node = spell.get((node, word[to - 1]))
+    def labels_from(self, word: str, at: int) -> list[str]:
+        """Every label that spells ``word`` from ``at``, shortest first."""
+        out, node = [], self.start
+        for x in word[at:]:
+            node = node.get(x)
             if node is None:
                 return out
-            label = (self.final if to == len(word) else inner).get(node)
-            if label is not None:
-                out.append((to, label))
+            if INNER in node:
+                out.append(node[INNER])
+        if out and len(out[-1]) == len(word) - at:
+            out.pop()  # at the end of a word labels carry the suffix
+        if FINAL in node:
+            out.append(node[FINAL])
         return out
 
     def encode_word(self, word: str) -> list[str]:
         """The labels of the accepted path that spells ``word``, given in byte symbols."""
         n, at, path, dead = len(word), 0, [], set()
-        open_at = [self.labels_from(word, 0)] if n else []  # per label of the path and for the next: what is left to try
+        left: list[list[str]] = []  # per label of the path: the shorter ones still to try
+        tries = self.labels_from(word, 0) if n else []
+        arcs, state = self.arcs, None
         while at < n:
-            state = path[-1] if path else None
-            tries = open_at[-1]
             while tries:
-                to, label = tries.pop()
-                if to not in dead and (state is None or self.follows(state, label)):
-                    path.append(label)
-                    at = to
-                    open_at.append(self.labels_from(word, at))
-                    break
+                label = tries.pop()
+                if state is not None:
+                    known = arcs.get((state, label))
+                    if not (self.follows(state, label) if known is None else known):
+                        continue
+                to = at + len(label)
+                if to > n:
+                    to = n
+                if dead and to in dead:
+                    continue
+                path.append(label)
+                left.append(tries)
+                at, state = to, label
+                if at < n:
+                    tries = self.labels_from(word, at)
+                break
             else:
                 if not path:
                     return []  # a symbol that no label spells
                 dead.add(at)  # only one path leads here, and it goes no further
-                open_at.pop()
-                back = path.pop()
-                at -= len(back) - (len(self.suffix) if at == n else 0)
+                at -= len(path.pop())  # no label with the suffix: the word would be done
+                state, tries = path[-1] if path else None, left.pop()
         return path
 
 
@@ -159,7 +168,10 @@ class WordTable(dict):
         self.symbols = str.maketrans({chr(b): s for b, s in byte_symbols().items()})
 
     def __missing__(self, word: str):
-        symbols = word.translate(self.symbols) if word.isascii() else word.encode().decode("latin-1").translate(self.symbols)
+        if word.isascii() and word.isprintable():
+            symbols = word  # printable bytes stand for themselves
+        else:
+            symbols = word.encode().decode("latin-1").translate(self.symbols)
         ids = [self.automaton.vocab[t] for t in self.automaton.encode_word(symbols)]
         got = (len(ids), " ".join(map(str, ids)), self.decode(ids))
         if len(word) <= MAX_CACHED_WORD:
@@ -184,9 +196,14 @@ class Tokenizer:
         # the same with the newer letters and numbers among everything else
         older = [(r"[\p{L}]", rf"[\p{{L}}--[{NEWER}]]"), (r"[\p{N}]", rf"[\p{{N}}--[{NEWER}]]"),
                  (rf"[^{BLANKS}\p{{L}}\p{{N}}]", rf"[[^{BLANKS}\p{{L}}\p{{N}}]||[{NEWER}]]")]
+        newer = pattern
         for now, then in older:
-            pattern = pattern.replace(now, then)
-        self.split_newer, self.newer = regex.compile("(?V1)" + pattern), regex.compile(f"[{NEWER}]")
+            newer = newer.replace(now, then)
+        self.split_newer, self.rare = regex.compile("(?V1)" + newer), re.compile(f"[{NEWER}{''.join(map(chr, LOWER))}]")
+        # the same for texts of the first 256 code points, whose classes are listed
+        for name in "LN":
+            pattern = pattern.replace(rf"\p{{{name}}}", "".join(c for c in map(chr, range(256)) if regex.match(rf"\p{{{name}}}", c)))
+        self.split_latin = re.compile(pattern)
         self.labels = {i: t for t, i in (model["vocab"] | self.specials).items()}
 
     def encode(self, text: str) -> list[tuple[int, str, str]]:
@@ -199,12 +216,17 @@ class Tokenizer:
         return out
 
     def _plain(self, text: str) -> list[tuple[int, str, str]]:
+        split = self.split_latin
         if not text.isascii():
-            # one lower case per character, whatever stands around it
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").translate(LOWER)
-        words, split = self.words, self.split
-        if not text.isascii() and self.newer.search(text):
-            split = self.split_newer
+            text = unicodedata.normalize("NFC", text)
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                # one lower case per character, whatever stands around it
+                split, text = self.split, text.replace("Σ", "σ")
+                if self.rare.search(text):
+                    split, text = self.split_newer, text.translate(LOWER)
+        words = self.words
         return [words[w] for w in split.findall(text.lower())]
 
     def decode(self, ids: list[int]) -> str:
