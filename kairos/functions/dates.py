@@ -62,6 +62,11 @@ def _micros_from_start(grid: CutoffGrid, ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", start, ts.cast("timestamp_ntz"))
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a date or time without zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit(_dt.datetime(1970, 1, 1)).cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+
+
 def _floor_div(x: Column, step: int) -> Column:
     """Whole-number division rounded down, exact to the microsecond."""
     return ((x - F.pmod(x, F.lit(step))) / F.lit(step)).cast("long")

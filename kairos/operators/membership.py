@@ -49,7 +49,12 @@ RANGE_ROWS = 1_000_000  # scores that one task may cumulate
 
 
 def roc_curve(long: DataFrame, n_ranges: int | None = None) -> DataFrame:
-    """(metric, score, tpr, fpr) per distinct score, descending thresholds.
+    """(metric, score, tpr, fpr, corner) per distinct score, descending thresholds.
+
+    ``corner`` is false for a point on the line between its neighbours: the
+    next point adds as many positives and negatives as it did itself, so the
+    second difference is zero in both. Each score range hands its first
+    point's counts to the last point of the range above. The ends are corners.
 
     Ties share one point. The (0, 0) point at threshold +inf is not a row; the
     summaries below add it. The number of score ranges follows the row count.
@@ -62,20 +67,25 @@ def roc_curve(long: DataFrame, n_ranges: int | None = None) -> DataFrame:
     probs = [i / n_ranges for i in range(1, n_ranges)]
     cuts = long.groupBy("metric").agg(F.percentile_approx("score", probs, max(1000, 4 * n_ranges)).alias("cuts"))
     x = pts.join(cuts, "metric").withColumn(
-        "rng", F.size(F.filter("cuts", lambda c: c < F.col("score")))).drop("cuts")
-    per = x.groupBy("metric", "rng").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"))
+        "rng", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("score"))), F.lit(0))).drop("cuts")
+    step = F.struct("pos", "neg")
+    per = x.groupBy("metric", "rng").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"), F.max_by(step, "score").alias("first"))
     wm = Window.partitionBy("metric")
     above = Window.partitionBy("metric").orderBy(F.col("rng").desc()).rowsBetween(
         Window.unboundedPreceding, -1)
-    per = per.select("metric", "rng",
+    below = F.lead("first").over(Window.partitionBy("metric").orderBy(F.col("rng").desc()))
+    per = per.select("metric", "rng", below.alias("below"),
                      F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("op"),
                      F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("on"),
                      F.sum("rp").over(wm).alias("P"), F.sum("rn").over(wm).alias("N"))
     inner = Window.partitionBy("metric", "rng").orderBy(F.col("score").desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     y = x.join(per, ["metric", "rng"]).withColumns({
-        "cp": F.col("op") + F.sum("pos").over(inner), "cn": F.col("on") + F.sum("neg").over(inner)})
-    return y.select("metric", "score", "pos", "neg", "cp", "cn",
+        "cp": F.col("op") + F.sum("pos").over(inner), "cn": F.col("on") + F.sum("neg").over(inner),
+        "next": F.coalesce(F.lead(step).over(Window.partitionBy("metric", "rng").orderBy(F.col("score").desc())), "below")})
+    first = (F.col("cp") == F.col("pos")) & (F.col("cn") == F.col("neg"))
+    y = y.withColumn("corner", first | F.col("next").isNull() | (F.col("next") != step))
+    return y.select("metric", "score", "pos", "neg", "cp", "cn", "corner",
                     F.try_divide(F.col("cp"), F.col("P")).alias("tpr"),
                     F.try_divide(F.col("cn"), F.col("N")).alias("fpr"),
                     "P", "N")
@@ -87,14 +97,16 @@ def roc_summary(curve: DataFrame, low_fpr: float = 0.05) -> DataFrame:
     The trapezoid between a point and its predecessor is
     neg * (2 * cum_pos - pos) / (2 P N), so the AUC is a plain sum over the
     points (no lag, no window); the curve includes (0, 0), so the maxima
-    start at 0.5 and 0. Null when a class is missing.
+    start at 0.5 and 0. Null when a class is missing. The TPR below the low
+    FPR is read off the corners alone, as from a curve without its collinear
+    points; the other two don't change with those.
     """
     trap = F.try_divide(F.col("neg") * (2 * F.col("cp") - F.col("pos")), 2.0 * F.col("P") * F.col("N"))
     bacc = 1 - (F.col("fpr") + 1 - F.col("tpr")) / 2
     return curve.groupBy("metric").agg(
         F.sum(trap).alias("auc"),
         F.greatest(F.max(bacc), F.lit(0.5)).alias("balanced_accuracy"),
-        F.greatest(F.max(F.when(F.col("fpr") < low_fpr, F.col("tpr"))), F.lit(0.0)).alias("tpr_at_low_fpr"),
+        F.greatest(F.max(F.when((F.col("fpr") < low_fpr) & F.col("corner"), F.col("tpr"))), F.lit(0.0)).alias("tpr_at_low_fpr"),
         F.max("P").alias("n_pos"), F.max("N").alias("n_neg"),
     ).withColumn("valid", (F.col("n_pos") > 0) & (F.col("n_neg") > 0)).select(
         "metric", *[F.when(F.col("valid"), F.col(c)).alias(c)

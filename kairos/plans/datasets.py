@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from kairos.functions.dates import HORIZON_DAYS, TEST_GRID, TRAIN_GRID, CutoffGrid, date_text
 from kairos.functions.hashing import hash_key
 from kairos.operators import sampling, temporal
-from kairos.session import cut_lineage
+from kairos.session import build_once, cut_lineage
 
 SEED = 2025
 MAX_RECOMMENDATIONS = 20
@@ -36,18 +36,18 @@ class Labels:
 
 def _labels(transactions, prices, grid: CutoffGrid, keep: DataFrame | None,
             horizon_days: int) -> Labels:
-    """Each part is written once; whatever is built on labels starts from those tables."""
+    """Each part is written once, and found again by later queries on the same inputs; whatever is built on labels starts from those tables."""
     pur = temporal.horizon_purchases(transactions, grid, horizon_days)
     if keep is not None:
-        keep = cut_lineage(keep, "sampled")
+        keep = build_once(keep, "sampled")
         pur = pur.join(keep.select("k", "customerID"), ["k", "customerID"], "left_semi")
-    pur = cut_lineage(pur.withColumn("example_id", example_id()), "purchases")
-    prof = cut_lineage(temporal.profitable_assets(prices, grid, horizon_days).select("k", "cutoff", "ISIN"), "profitable")
-    good = cut_lineage(temporal.good_assets(pur, prof), "good")
+    pur = build_once(pur.withColumn("example_id", example_id()), "purchases")
+    prof = build_once(temporal.profitable_assets(prices, grid, horizon_days).select("k", "cutoff", "ISIN"), "profitable")
+    good = build_once(temporal.good_assets(pur, prof), "good")
     ex = good.select("k", "cutoff", "customerID", "example_id").distinct()
     if keep is not None and "client_id" in keep.columns:
         ex = ex.join(keep.select("k", "customerID", "client_id"), ["k", "customerID"])
-    ex = cut_lineage(ex, "examples")
+    ex = build_once(ex, "examples")
     pur = pur.join(ex.select("example_id"), "example_id", "left_semi")
     return Labels(ex, pur.select("example_id", "ISIN"), good.select("example_id", "ISIN"), prof)
 
@@ -82,7 +82,7 @@ def numbered_assets(assets: DataFrame, seed=SEED) -> tuple[DataFrame, int]:
     """(ISIN, pos) with positions in a seeded order, and their number."""
     x = assets.select("ISIN").distinct().withColumn("_h", hash_key(f"{seed}|asset", "ISIN"))
     x = x.withColumn("_b", F.substring("_h", 1, 3))
-    out = cut_lineage(sampling.numbered(x, ["_b"], "_h").select("ISIN", "pos"), "assets")
+    out = build_once(sampling.numbered(x, ["_b"], "_h").select("ISIN", "pos"), "assets")
     return out, out.count()
 
 

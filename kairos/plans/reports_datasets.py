@@ -11,14 +11,14 @@ from kairos.plans import datasets as D
 from kairos.plans import views_sql as V
 from kairos.plans.registry import dtxt, register
 from kairos.plans.reports_temporal import traits
-from kairos.session import cut_lineage
+from kairos.session import build_once
 from kairos.sources import adapters as A
 
 S = D.SEED
 
 
 def assigned(spark, sf_dir, iid=False):
-    return cut_lineage(cohorts.assign_clients(traits(spark, sf_dir), A.transactions(spark, sf_dir), iid=iid), "assigned")
+    return build_once(cohorts.assign_clients(traits(spark, sf_dir), A.transactions(spark, sf_dir), iid=iid), "assigned")
 
 
 def _e1_sql(iid: bool) -> str:
@@ -114,10 +114,10 @@ TRAIN = {**SAMPLED,
                                 ORDER BY {sql_hash(f'{S}|good', 'example_id', 'ISIN')}) <= 20""",
          "anum": f"""SELECT ISIN, row_number() OVER (ORDER BY {sql_hash(f'{S}|bad|asset', 'ISIN')}) - 1 AS pos
                      FROM (SELECT DISTINCT ISIN FROM close_prices)""",
-         "badentry": f"""SELECT example_id, need, s, m, unnest(range(0, least(need + s.spare, s.a * s.b))) AS j FROM (
-                           SELECT example_id, count(*) + 20 AS need FROM tgood GROUP BY 1),
+         "badentry": f"""SELECT example_id, need, s, m, keys, unnest(range(0, least(need + s.spare, s.a * s.b))) AS j FROM (
+                           SELECT example_id, need, {V.keys_sql(f'{S}|bad', 'example_id')} AS keys FROM (SELECT example_id, count(*) + 20 AS need FROM tgood GROUP BY 1)),
                            (SELECT m, {V.shape_sql('m')} AS s FROM (SELECT count(*) AS m FROM anum)) WHERE m > 0""",
-         "badpick": f"""SELECT e.example_id, a.ISIN FROM ({V.drawn_sql("SELECT * FROM badentry", f'{S}|bad', 'example_id', 'j')}) e JOIN anum a USING (pos)
+         "badpick": f"""SELECT e.example_id, a.ISIN FROM ({V.drawn_sql("SELECT * FROM badentry")}) e JOIN anum a USING (pos)
                         WHERE e.pos < e.m AND NOT EXISTS (SELECT 1 FROM tgood g WHERE g.example_id = e.example_id AND g.ISIN = a.ISIN)
                         QUALIFY row_number() OVER (PARTITION BY e.example_id ORDER BY e.j) <= 20"""}
 

@@ -18,7 +18,7 @@ from kairos.plans.registry import dtxt, register, rnd
 from kairos.plans.reports_evaluation import SCORED
 from kairos.plans.reports_scoring import _FIT, _QA, _qa_scored
 from kairos.plans.reports_temporal import traits
-from kairos.session import checkpoint_dir
+from kairos.session import build_once, checkpoint_dir
 from kairos.sources import adapters as A
 from kairos.sources import readers, writers
 
@@ -168,6 +168,21 @@ def s7_materialized_prices(spark, sf_dir):
     return prices.groupBy("ISIN").agg(F.count("*").alias("n"))
 
 
+@register("s7_build_once", V.with_views("""
+    SELECT ISIN, count(*) AS n, true AS same_inputs_reused, true AS new_inputs_rebuilt FROM close_prices GROUP BY ISIN"""))
+def s7_build_once(spark, sf_dir):
+    """Prices from a copy of the tables: a second build finds the first's table, one after a changed input makes its own."""
+    folder = _folder(spark, "inputs")
+    line = A.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_extendedprice", "l_quantity")
+    line.write.parquet(f"{folder}/lineitem.parquet")
+    build = lambda: build_once(A.close_prices(spark, folder), "prices")
+    first, second = build().inputFiles(), build().inputFiles()
+    line.limit(0).write.mode("append").parquet(f"{folder}/lineitem.parquet")  # one more file, without rows
+    third = build()
+    return third.groupBy("ISIN").agg(F.count("*").alias("n")).withColumns({
+        "same_inputs_reused": F.lit(sorted(first) == sorted(second)), "new_inputs_rebuilt": F.lit(not set(first) & set(third.inputFiles()))})
+
+
 @register("s8_stored_responses", V.with_views("SELECT ablation, count(*) AS n, CAST(sum(n_tokens) AS BIGINT) AS n_tokens FROM resp GROUP BY ablation", SCORED))
 def s8_stored_responses(spark, sf_dir):
     lab = D.test_labels(A.transactions(spark, sf_dir), A.close_prices(spark, sf_dir))
@@ -209,9 +224,14 @@ def s10_jsonl_strict(spark, sf_dir):
     return _conv(readers.read_jsonl(spark, _conversation_files(spark, sf_dir), spark.createDataFrame([], _EVENTS).schema))
 
 
-@register("s11_jsonl_shuffled", V.with_views(_CONV))
+@register("s11_jsonl_shuffled", V.with_views(f"""
+    SELECT conv_id, turn, role, md5(text) AS text_md5, row_number() OVER (ORDER BY {sql_hash(7, "concat(conv_id, '|', turn)")}) - 1 AS place
+    FROM conversations"""))
 def s11_jsonl_shuffled(spark, sf_dir):
-    return _conv(readers.read_jsonl_shuffled(spark, _conversation_files(spark, sf_dir), spark.createDataFrame([], _EVENTS).schema, seed=7))
+    """All conversations' lines in a seeded order, each with its place in it."""
+    rows = readers.read_jsonl(spark, _conversation_files(spark, sf_dir), spark.createDataFrame([], _EVENTS).schema)
+    rows = sampling.seeded_shuffle(rows.withColumn("key", F.concat_ws("|", "conv_id", "turn")), 7, "key", "place")
+    return rows.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"), "place")
 
 
 @register("s12_scores_csv", V.with_views("SELECT vec_id, CAST(label AS INTEGER) AS label FROM embeddings WHERE label IS NOT NULL"))

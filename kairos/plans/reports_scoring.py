@@ -37,7 +37,8 @@ _MIA = {
     "mia_pts": """SELECT metric, score, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos,
                          sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS neg FROM mia_long GROUP BY ALL""",
     "mia_cum": """SELECT *, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn,
-                         sum(pos) OVER (PARTITION BY metric) AS P, sum(neg) OVER (PARTITION BY metric) AS N
+                         sum(pos) OVER (PARTITION BY metric) AS P, sum(neg) OVER (PARTITION BY metric) AS N,
+                         row_number() OVER w = 1 OR lead(pos) OVER w IS NULL OR lead(pos) OVER w <> pos OR lead(neg) OVER w <> neg AS corner
                   FROM mia_pts WINDOW w AS (PARTITION BY metric ORDER BY score DESC
                                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
 }
@@ -54,9 +55,10 @@ def _mia_long(spark, sf_dir):
 
 
 @register("e8_membership_eval_data", V.with_views(f"""
-    SELECT vec_id AS text_id, 'member ' || CAST(vec_id AS VARCHAR) AS text, 1.0 AS label FROM embeddings WHERE label % 2 = 1
-    UNION ALL
-    SELECT vec_id, 'nonmember ' || CAST(vec_id AS VARCHAR), 0.0 FROM embeddings WHERE label % 2 = 0"""))
+    SELECT *, row_number() OVER (ORDER BY {sql_hash(42, 'text_id')}) - 1 AS place FROM (
+      SELECT vec_id AS text_id, 'member ' || CAST(vec_id AS VARCHAR) AS text, 1.0 AS label FROM embeddings WHERE label % 2 = 1
+      UNION ALL
+      SELECT vec_id, 'nonmember ' || CAST(vec_id AS VARCHAR), 0.0 FROM embeddings WHERE label % 2 = 0)"""))
 def e8_membership_eval_data(spark, sf_dir):
     from kairos.operators import sampling
     e = A.table(spark, sf_dir, "embeddings")
@@ -67,7 +69,7 @@ def e8_membership_eval_data(spark, sf_dir):
         F.array(F.concat(F.lit("nonmember "), F.col("vec_id").cast("string")), F.lit("context")).alias("input"))
     pos = pos.withColumn("label", F.lit(1.0))                                   # P8
     neg = neg.withColumn("label", F.lit(0.0)).select("text_id", F.get("input", 0).alias("text"), "label")  # P9
-    return sampling.seeded_shuffle(pos.unionByName(neg), 42, "text_id")       # U1, R5
+    return sampling.seeded_shuffle(pos.unionByName(neg), 42, "text_id", "place")       # U1, R5
 
 
 @register("a20_perplexity", V.with_views("""
@@ -89,15 +91,15 @@ def f15_membership_scores(spark, sf_dir):
 
 
 @register("a21_roc_curve", V.with_views(f"""
-    SELECT metric, {rnd('score')} AS score, {rnd('cp / P')} AS tpr, {rnd('cn / N')} AS fpr FROM mia_cum""", _MIA))
+    SELECT metric, {rnd('score')} AS score, {rnd('cp / P')} AS tpr, {rnd('cn / N')} AS fpr, corner FROM mia_cum""", _MIA))
 def a21_roc_curve(spark, sf_dir):
-    return membership.roc_curve(_mia_long(spark, sf_dir)).select("metric", "score", "tpr", "fpr")
+    return membership.roc_curve(_mia_long(spark, sf_dir)).select("metric", "score", "tpr", "fpr", "corner")
 
 
 @register("e9_membership_report", V.with_views(f"""
     SELECT metric, {rnd('sum(neg * (2 * cp - pos)) / (2.0 * max(P) * max(N))')} AS auc,
            {rnd('greatest(max(1 - (cn / N + 1 - cp / P) / 2), 0.5)')} AS balanced_accuracy,
-           {rnd('greatest(coalesce(max(CASE WHEN cn / N < 0.05 THEN cp / P END), 0.0), 0.0)')} AS tpr_at_low_fpr,
+           {rnd('greatest(coalesce(max(CASE WHEN cn / N < 0.05 AND corner THEN cp / P END), 0.0), 0.0)')} AS tpr_at_low_fpr,
            max(P) AS n_pos, max(N) AS n_neg
     FROM mia_cum GROUP BY metric""", _MIA))
 def e9_membership_report(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kairos import schemas
 from kairos.functions.dates import TEST_GRID, TRAIN_GRID
+from kairos.functions.hashing import hash_bucket, sql_bucket
 from kairos.operators import cleaning, temporal
 from kairos.plans import views_sql as V
 from kairos.plans.registry import dtxt, register, rnd, ttxt
@@ -132,3 +133,44 @@ def j8_good_assets(spark, sf_dir):
     FROM b GROUP BY ISIN, period_end"""))
 def a4_ten_week_summary(spark, sf_dir):
     return temporal.ten_week_summary(A.close_prices(spark, sf_dir))
+
+
+IRREGULAR = {"own_cutoffs": f"""
+    SELECT DISTINCT customerID, "timestamp" AS cutoff, 20 + {sql_bucket('horizon', 300, 'customerID')} AS horizon FROM transactions WHERE transactionType = 'Sell'"""}
+
+
+@register("j4_interval_join", V.with_views("""
+    SELECT c.customerID, strftime(c.cutoff, '%Y-%m-%d %H:%M:%S') AS cutoff, c.horizon, count(*) AS n_bought, count(DISTINCT t.ISIN) AS n_assets
+    FROM own_cutoffs c JOIN transactions t ON t.customerID = c.customerID AND t."timestamp" > c.cutoff
+      AND t."timestamp" <= c.cutoff + to_days(c.horizon::INTEGER)
+    WHERE t.transactionType = 'Buy' GROUP BY ALL""", IRREGULAR))
+def j4_interval_join(spark, sf_dir):
+    """What each customer bought after each of its sales, in a horizon of its own: no grid on either side."""
+    tx = A.transactions(spark, sf_dir)
+    days = 20 + hash_bucket("horizon", 300, "customerID")
+    cuts = tx.where("transactionType = 'Sell'").select("customerID", F.col("timestamp").alias("cutoff"), days.cast("int").alias("horizon")).distinct()
+    cuts = cuts.withColumn("until", F.col("cutoff") + F.make_dt_interval(F.col("horizon")))
+    found = temporal.interval_join(tx.where("transactionType = 'Buy'").select("customerID", "ISIN", "timestamp"), cuts, ["customerID"],
+                                   "timestamp", "cutoff", "until")
+    return found.groupBy("customerID", "cutoff", "horizon").agg(F.count("*").alias("n_bought"), F.countDistinct("ISIN").alias("n_assets")).withColumn(
+        "cutoff", F.date_format("cutoff", "yyyy-MM-dd HH:mm:ss"))
+
+
+def _pooled(isin: str) -> str:
+    return f"CASE WHEN {sql_bucket('pool', 3, isin)} = 0 THEN 'POOL' ELSE {isin} END"
+
+
+@register("j5_asof_join", V.with_views(f"""
+    SELECT transactionID, strftime(m.ts, '%Y-%m-%d %H:%M:%S') AS matched_timestamp, {rnd('m.price')} AS closePrice FROM (
+      SELECT t.transactionID, CASE WHEN p.ts >= t."timestamp" - INTERVAL 30 DAY THEN p.ts END AS ts,
+             CASE WHEN p.ts >= t."timestamp" - INTERVAL 30 DAY THEN p.price END AS price
+      FROM (SELECT transactionID, "timestamp", {_pooled('ISIN')} AS series FROM transactions) t
+      ASOF LEFT JOIN (SELECT {_pooled('ISIN')} AS series, "timestamp" AS ts, max(closePrice) AS price FROM close_prices GROUP BY 1, 2) p
+        ON p.series = t.series AND t."timestamp" > p.ts) m"""))
+def j5_asof_join(spark, sf_dir):
+    """Each transaction's last price before it, of 30 days at most. A third of the assets are pooled in one series, whose days have many prices."""
+    pooled = F.when(hash_bucket("pool", 3, "ISIN") == 0, F.lit("POOL")).otherwise(F.col("ISIN"))
+    tx = A.transactions(spark, sf_dir).select("transactionID", "timestamp", pooled.alias("series"))
+    prices = A.close_prices(spark, sf_dir).select(pooled.alias("series"), "timestamp", "closePrice")
+    found = temporal.asof_join(tx, prices, ["series"], "timestamp", "timestamp", ["closePrice"], tie="closePrice", tolerance_days=30, strict=True)
+    return found.select("transactionID", F.date_format("matched_timestamp", "yyyy-MM-dd HH:mm:ss").alias("matched_timestamp"), "closePrice")

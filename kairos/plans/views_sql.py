@@ -123,12 +123,16 @@ def shape_sql(n: str) -> str:
                'b': greatest({MIN_SIDE}, ({n} + {side} + i - 1) // ({side} + i))}}))"""
 
 
-def drawn_sql(rel: str, seed, key: str, j: str, shape: str = "s") -> str:
-    """``rel`` with ``pos``: the position of entry ``j`` of the key's own order of the grid in struct ``shape``."""
-    words = [f"('0x' || substr(h{i}, {1 + 7 * k}, 7))::BIGINT" for i in range(ROUNDS // 4) for k in range(4)]
-    cols = [f"{sql_hash(f'{seed}|order{i}', key)} AS h{i}" for i in range(ROUNDS // 4)]
-    cols += [f"{j} // {shape}.b AS v_0", f"{j} % {shape}.b AS v_1"]  # v_i+1 is what round i reads, v_i what it adds to
-    for i, word in enumerate(words):
-        cols.append(f"(v_{i + 1} + {word}) % {MODULUS} AS x_{i}")
+def keys_sql(seed, key: str) -> str:
+    """List of the round keys of a key's own order; worked out before entries are listed."""
+    words = [f"('0x' || substr({sql_hash(f'{seed}|order{i}', key)}, {1 + 7 * k}, 7))::BIGINT" for i in range(ROUNDS // 4) for k in range(4)]
+    return "[" + ", ".join(words) + "]"
+
+
+def drawn_sql(rel: str, j: str = "j", shape: str = "s", keys: str = "keys") -> str:
+    """``rel`` with ``pos``: the position of entry ``j`` of the order with ``keys`` over the grid in struct ``shape``."""
+    cols = [f"{j} // {shape}.b AS v_0", f"{j} % {shape}.b AS v_1"]  # v_i+1 is what round i reads, v_i what it adds to
+    for i in range(ROUNDS):
+        cols.append(f"(v_{i + 1} + {keys}[{i + 1}]) % {MODULUS} AS x_{i}")
         cols.append(f"(v_{i} + x_{i} * x_{i} % {MODULUS} * x_{i} % {MODULUS}) % {shape}.{'ab'[i % 2]} AS v_{i + 2}")
     return f"SELECT *, v_{ROUNDS} * {shape}.b + v_{ROUNDS + 1} AS pos FROM (SELECT *, {', '.join(cols)} FROM ({rel}))"

@@ -6,11 +6,15 @@ we only fill it in when it is unset (local tests).
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings a job needs at any scale; everything else stays the cluster's.
 _DEFAULTS = {
@@ -73,3 +77,58 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Plans with these hold data or code that their text does not show.
+_OPAQUE = re.compile(r"LocalRelation|LogicalRDD|ExternalRDD|UDF|InPandas|InArrow|Python|rand\(|uuid\(|current_timestamp|current_date|now\(|StreamingRelation")
+
+
+def fingerprint(df: DataFrame) -> str | None:
+    """What a table would be made of: its plan and the name, size and time of every input file; None if the plan doesn't tell.
+
+    Ids in the plan's text are numbered by first appearance, so that the same
+    query written twice has one fingerprint. Input files are listed and
+    hashed by Spark; their content is not read.
+    """
+    spark = df.sparkSession
+    width = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(width, None)
+    spark.conf.set(width, "100000")
+    try:
+        plan = df._jdf.queryExecution().analyzed().toString()
+    finally:
+        spark.conf.unset(width) if before is None else spark.conf.set(width, before)
+    if _OPAQUE.search(plan):
+        return None
+    seen: dict[str, str] = {}
+    # expression ids, and the numbered names of lambda arguments
+    plan = re.sub(r"(?:(?<=#)\d+L?)|\b[xyz]_\d+", lambda m: seen.setdefault(m.group(0).rstrip("L"), f"i{len(seen)}"), plan)
+    files = sorted(df.inputFiles())
+    listed = None
+    if files:
+        f = spark.read.format("binaryFile").load([*files]).select("path", "modificationTime", "length")
+        listed = f.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()
+    return hashlib.sha256(f"{plan}|{files}|{listed}".encode()).hexdigest()
+
+
+def build_once(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder, written only if no finished one has its fingerprint.
+
+    Changed input files or another query give another fingerprint, so a table
+    is never older than what it is made of. ``root`` may name a folder that
+    outlives the session. Where there is no fingerprint, the table is written
+    each time.
+    """
+    key = fingerprint(df)
+    if key is None:
+        return cut_lineage(df, name)
+    spark = df.sparkSession
+    path = f"{root or checkpoint_dir(spark) + '/once'}/{name}-{key[:40]}"
+    try:
+        done = not spark.read.parquet(f"{path}.done").isEmpty()
+    except AnalysisException:
+        done = False
+    if not done:
+        df.write.mode("overwrite").parquet(path)
+        spark.range(1).write.mode("overwrite").parquet(f"{path}.done")  # after the table: a lost driver leaves no mark
+    return spark.read.schema(df.schema).parquet(path)

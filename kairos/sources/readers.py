@@ -82,11 +82,14 @@ def read_jsonl_tolerant(spark, path, schema: T.StructType) -> tuple[DataFrame, D
     return good, bad
 
 
-def read_jsonl_shuffled(spark, path, schema: T.StructType, seed=0, keys: list[str] | None = None) -> DataFrame:
-    """JSON lines in a seeded order of ``keys`` (all columns by default), whatever the file splits; equal rows stay together."""
-    from kairos.functions.hashing import hash_key
-    df = read_jsonl(spark, path, schema)
-    return df.orderBy(hash_key(seed, F.to_json(F.struct(*(keys or [f.name for f in schema.fields])))))
+def read_jsonl_shuffled(spark, path, schema: T.StructType, seed=0, keys: list[str] | None = None, position: str | None = None) -> DataFrame:
+    """JSON lines in a seeded order of ``keys`` (all columns by default), whatever the file splits; equal rows stay together.
+
+    With ``position`` also each row's place in that order, from 0.
+    """
+    from kairos.operators import sampling
+    df = read_jsonl(spark, path, schema).withColumn("_key", F.to_json(F.struct(*(keys or [f.name for f in schema.fields]))))
+    return sampling.seeded_shuffle(df, seed, "_key", position).drop("_key")
 
 
 def read_scores_csv(spark, path, schema: T.StructType | None = None) -> DataFrame:

@@ -61,3 +61,27 @@ def test_perplexity_and_flag(spark):
     r = membership.membership_flags(df, "m", "p").collect()[0]
     assert abs(r.ratio - math.exp(1) / math.exp(2)) < 1e-12 and r.membership
     assert r.message == "Normalised Perplexity: 0.37 -->  Membership: True"
+
+
+def test_corners_are_what_a_thinned_curve_keeps(spark):
+    import random
+    r = random.Random(4)
+    for n_ranges in (1, 3, 40):
+        rows = [(r.randint(0, 1), r.randint(0, 25) / 10) for _ in range(60)] + [(1, 9.0), (1, 8.0), (1, 7.0), (0, -1.0), (0, -2.0), (0, -3.0)]
+        got = {p["score"]: p["corner"] for p in membership.roc_curve(long(spark, rows), n_ranges).collect()}
+        scores = sorted({s for _, s in rows}, reverse=True)
+        tps = list(itertools.accumulate(sum(l == 1 and x == s for l, x in rows) for s in scores))
+        fps = list(itertools.accumulate(sum(l == 0 and x == s for l, x in rows) for s in scores))
+        bent = lambda c, i: c[i + 1] - 2 * c[i] + c[i - 1] != 0
+        want = {s: i in (0, len(scores) - 1) or bent(tps, i) or bent(fps, i) for i, s in enumerate(scores)}
+        assert got == want and not all(want.values())
+
+
+def test_low_fpr_reads_the_corners(spark):
+    # ten negatives one after the other below a positive: the points between the ends are on a line
+    rows = [(1, 100.0), (0, 99.0), (1, 98.0)] + [(0, 50.0 - i) for i in range(99)]
+    s = membership.roc_summary(membership.roc_curve(long(spark, rows), n_ranges=4)).collect()[0]
+    assert s.tpr_at_low_fpr == 1.0
+    line = [(1, 10.0 - i) for i in range(5)]
+    s = membership.roc_summary(membership.roc_curve(long(spark, line + [(0, -1.0)]), n_ranges=2)).collect()[0]
+    assert s.tpr_at_low_fpr == 1.0

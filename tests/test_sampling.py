@@ -75,3 +75,50 @@ def test_histogram_is_dense(spark):
     assert h.where("n_customers > 0").count() == 6
     s = cohorts.client_sizes(a)
     assert s.count() == 20 and s.where("n_customers = 0").count() == 18
+
+
+def orders(spark, n, keys):
+    """key -> its order of 0 .. n-1."""
+    x = spark.range(keys).select(F.col("id").cast("string").alias("key"), F.lit(n).cast("bigint").alias("n"))
+    x = x.withColumn("keys", sampling.order_keys("t", "key")).withColumn("s", sampling.order_shape(F.col("n"))).select("key", "n", "keys", "s.*")
+    x = x.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("a") * F.col("b") - 1)))
+    x = sampling.drawn_positions(x, "j", "keys", "a", "b").where("pos < n")
+    got = x.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "pos"))), lambda s: s["pos"]).alias("o"))
+    return [r["o"] for r in got.collect()]
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 64, 65, 1000])
+def test_orders_are_permutations(spark, n):
+    assert all(sorted(o) == list(range(n)) for o in orders(spark, n, 20))
+
+
+def test_small_orders_are_equally_likely(spark):
+    from collections import Counter
+    seen = Counter(map(tuple, orders(spark, 4, 6000)))
+    assert len(seen) == 24
+    assert sum((c - 250) ** 2 / 250 for c in seen.values()) < 50  # 23 degrees of freedom
+
+
+def test_triples_and_gaps_of_entries_are_uniform(spark):
+    n, cells = 60, [0] * 64
+    got = orders(spark, n, 3000)
+    for o in got:
+        a, b, c = (x * 4 // n for x in o[:3])
+        cells[16 * a + 4 * b + c] += 1
+    # triples of distinct places, by the quarters they fall into: k of the 15 places of a quarter are taken
+    free = lambda *q: math.prod(15 - q[:i].count(q[i]) for i in range(3))
+    want = [3000 * free(a, b, c) / (60 * 59 * 58) for a in range(4) for b in range(4) for c in range(4)]
+    assert sum((x - y) ** 2 / y for x, y in zip(cells, want)) < 105  # 63 degrees of freedom
+    gaps = [0] * 59
+    for o in got:
+        gaps[(o[1] - o[0]) % n - 1] += 1
+        gaps[(o[9] - o[8]) % n - 1] += 1
+    assert sum((x - 6000 / 59) ** 2 / (6000 / 59) for x in gaps) < 98  # 58 degrees of freedom
+
+
+def test_seeded_shuffle_numbers_the_rows(spark):
+    df = spark.range(500).withColumn("v", F.col("id") % 7)
+    rows = sampling.seeded_shuffle(df, 3, "id", "place").collect()
+    assert [r["place"] for r in rows] == list(range(500))
+    assert [r["id"] for r in rows] == [r["id"] for r in sampling.seeded_shuffle(df, 3, "id").collect()]
+    assert sampling.seeded_shuffle(df.limit(0), 3, "id", "place").count() == 0

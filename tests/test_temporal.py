@@ -2,6 +2,7 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from kairos import schemas
@@ -125,3 +126,43 @@ def test_microseconds_at_both_ends(spark):
     assert [got[i][0] for i in range(8)] == [False, False, True, True, True, True, False, False]
     assert [got[i][1] for i in range(4)] == [0, 0, None, None]
     assert all(inside or not hit for hit, _, inside in got.values())
+
+
+def test_interval_join_equals_all_pairs(spark):
+    import datetime as dt
+    import random
+    r = random.Random(3)
+    at = lambda: dt.datetime(1969, 12, 1) + dt.timedelta(seconds=r.randint(0, 90 * 86400))
+    facts = [(r.choice("aab"), i, at()) for i in range(150)] + [(None, 900, at()), ("a", 901, None)]
+    spans = []
+    for i in range(40):
+        low = at()
+        spans.append((r.choice("aabc"), 100 + i, low, low + dt.timedelta(seconds=r.choice([0, 1, 60, 86400, 2 * 86400, 86401, 40 * 86400, -5]))))
+    spans += [("a", 500, facts[0][2], facts[0][2] + dt.timedelta(days=1)), ("a", 501, facts[0][2] - dt.timedelta(days=1), facts[0][2]), ("a", 502, None, at())]
+    f = spark.createDataFrame(facts, "k string, f int, ts timestamp_ntz")
+    s = spark.createDataFrame(spans, "k string, s int, low timestamp_ntz, high timestamp_ntz")
+    got = temporal.interval_join(f, s, ["k"], "ts", "low", "high").select("f", "s").collect()
+    want = [(x, y) for k, x, t in facts for q, y, lo, hi in spans if k == q and t and lo and lo < t <= hi]
+    assert sorted(map(tuple, got)) == sorted(want) and want
+    assert temporal.interval_join(f, s.limit(0), ["k"], "ts", "low", "high").count() == 0
+
+
+@pytest.mark.parametrize("strict,tolerance", [(False, None), (True, None), (True, 3), (False, 0)])
+def test_asof_join_equals_brute_force(spark, strict, tolerance):
+    import datetime as dt
+    import random
+    r = random.Random(8)
+    at = lambda: dt.datetime(2001, 1, 1) + dt.timedelta(hours=r.randint(0, 600))
+    left = [(i, r.choice(["hot", "hot", "b", "none", None]), at() if i % 17 else None) for i in range(200)]
+    right = [(r.choice(["hot", "hot", "b", "c", None]), at() if i % 13 else None, float(r.randint(0, 9))) for i in range(150)]
+    rf = spark.createDataFrame(right, "k string, at timestamp_ntz, price double")
+    got = temporal.asof_join(spark.createDataFrame(left, "i int, k string, ts timestamp_ntz"), rf, ["k"], "ts", "at", ["price"], "price",
+                             tolerance, strict, parts=7)
+    want = []
+    for i, k, t in left:
+        m = [(u, p) for q, u, p in right if k is not None and q == k and t and u and (u < t or u == t and not strict)]
+        best = max(m, default=(None, None))
+        if best[0] and tolerance is not None and best[0] < t - dt.timedelta(days=tolerance):
+            best = (None, None)
+        want.append((i, k, t, *best))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
