@@ -130,9 +130,15 @@ def keys_sql(seed, key: str) -> str:
 
 
 def drawn_sql(rel: str, j: str = "j", shape: str = "s", keys: str = "keys") -> str:
-    """``rel`` with ``pos``: the position of entry ``j`` of the order with ``keys`` over the grid in struct ``shape``."""
-    cols = [f"{j} // {shape}.b AS v_0", f"{j} % {shape}.b AS v_1"]  # v_i+1 is what round i reads, v_i what it adds to
+    """``rel`` with ``pos``: the position of entry ``j`` of the order with ``keys`` over the grid in struct ``shape``.
+
+    A subquery per step and a list at the end: an alias used three times in
+    each of eight rounds, or a filter pushed below them, would be written out
+    thousands of times.
+    """
+    q = f"SELECT *, {j} // {shape}.b AS _u, {j} % {shape}.b AS _v FROM ({rel})"
     for i in range(ROUNDS):
-        cols.append(f"(v_{i + 1} + {keys}[{i + 1}]) % {MODULUS} AS x_{i}")
-        cols.append(f"(v_{i} + x_{i} * x_{i} % {MODULUS} * x_{i} % {MODULUS}) % {shape}.{'ab'[i % 2]} AS v_{i + 2}")
-    return f"SELECT *, v_{ROUNDS} * {shape}.b + v_{ROUNDS + 1} AS pos FROM (SELECT *, {', '.join(cols)} FROM ({rel}))"
+        q = f"SELECT *, (_v + {keys}[{i + 1}]) % {MODULUS} AS _x FROM ({q})"
+        mixed = f"(_u + _x * _x % {MODULUS} * _x % {MODULUS}) % {shape}.{'ab'[i % 2]}"
+        q = f"SELECT * EXCLUDE (_u, _v, _x), _v AS _u, {mixed} AS _v FROM ({q})"
+    return f"SELECT * EXCLUDE (_u, _v), unnest([_u * {shape}.b + _v]) AS pos FROM ({q})"
