@@ -27,6 +27,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,8 @@ from kairos.llm.common import pick
 
 NEVER = 1 << 60
 INNER, FINAL = "inner", "final"  # symbols are single characters
-MAX_WORDS = 200_000     # encoded words kept per task; the table starts anew beyond it
+NO_ARCS: dict = {}
+MAX_WORDS = 150_000     # encoded words of one generation; a task keeps two
 MAX_ARCS = 1_000_000    # arcs kept per task
 MAX_CACHED_WORD = 64    # longer words are encoded each time
 MAX_OUT = 250_000       # tokens put out at a time
@@ -60,17 +62,34 @@ class TokenAutomaton:
         self.lost: dict[str, dict[str, int]] = {}
         for number, (u, v) in enumerate(merges):
             self._gadget(number, u, v)
-        # labels (base symbols and what gadgets made) by what they spell inside a word and at its end
-        # the spelling table: a node is a row of it, symbol to node; INNER and FINAL hold the label spelled there
-        self.start: dict = {}
-        for t in vocab:
+        # the spelling table: a node is a row of it, symbol to node. INNER holds the labels that start the node's spelling,
+        # shortest first; FINAL those if a word ends there, where the last label carries the suffix
+        self.start: dict = {INNER: (), FINAL: ()}
+        self.longest = max(map(len, vocab), default=0)
+        ends: list[tuple[dict, str]] = []
+        for t in sorted(vocab, key=len):
             if self._made(t):
                 at_end = t.endswith(suffix)
                 node = self.start
                 for x in t.removesuffix(suffix) if at_end else t:
                     node = node.setdefault(x, {})
-                node[FINAL if at_end else INNER] = t
-        self.arcs: dict[tuple[str, str], bool] = {}
+                if at_end:
+                    ends.append((node, t))
+                else:
+                    node["own"] = t
+        todo = [self.start]
+        while todo:
+            node = todo.pop()
+            shorter = node[INNER]
+            for x, to in node.items():
+                if len(x) == 1:
+                    to[FINAL] = shorter
+                    to[INNER] = shorter + (to.pop("own"),) if "own" in to else shorter
+                    todo.append(to)
+        for node, t in ends:
+            node[FINAL] += (t,)
+        self.arcs: dict[str, dict[str, bool]] = {}  # transition table: state, then label
+        self.n_arcs = 0
 
     def _made(self, t: str) -> bool:
         return t in self.parts or len(t) == 1 or len(t) == 1 + len(self.suffix) and t.endswith(self.suffix)
@@ -103,40 +122,36 @@ class TokenAutomaton:
             ends, s = self.born[s], self.parts[s][1]
 
     def follows(self, state: str, label: str) -> bool:
-        key = (state, label)
-        known = self.arcs.get(key)
-        if known is None:
-            if len(self.arcs) >= MAX_ARCS:
-                self.arcs.clear()
-            known = self.arcs[key] = self._arc(state, label)
+        """Whether ``label`` may follow ``state``, put into the transition table."""
+        if self.n_arcs >= MAX_ARCS:
+            self.arcs.clear()
+            self.n_arcs = 0
+        self.n_arcs += 1
+        known = self.arcs.setdefault(state, {})[label] = self._arc(state, label)
         return known
 
-    def labels_from(self, word: str, at: int) -> list[str]:
+    def labels_from(self, word: str, at: int) -> tuple[str, ...]:
         """Every label that spells ``word`` from ``at``, shortest first."""
-        out, node = [], self.start
-        for x in word[at:]:
-            node = node.get(x)
-            if node is None:
-                return out
-            if INNER in node:
-                out.append(node[INNER])
-        if out and len(out[-1]) == len(word) - at:
-            out.pop()  # at the end of a word labels carry the suffix
-        if FINAL in node:
-            out.append(node[FINAL])
-        return out
+        node = self.start
+        for x in word[at:at + self.longest]:
+            if x not in node:
+                return node[INNER]
+            node = node[x]
+        return node[FINAL] if len(word) - at <= self.longest else node[INNER]
 
     def encode_word(self, word: str) -> list[str]:
         """The labels of the accepted path that spells ``word``, given in byte symbols."""
         n, at, path, dead = len(word), 0, [], set()
-        left: list[list[str]] = []  # per label of the path: the shorter ones still to try
-        tries = self.labels_from(word, 0) if n else []
-        arcs, state = self.arcs, None
+        left: list[tuple] = []  # per label of the path: the labels at its place and how many are still to try
+        labels_from = self.labels_from
+        tries = labels_from(word, 0)
+        arcs, state, row, i = self.arcs, None, None, len(tries)
         while at < n:
-            while tries:
-                label = tries.pop()
+            while i:
+                i -= 1
+                label = tries[i]
                 if state is not None:
-                    known = arcs.get((state, label))
+                    known = row.get(label)
                     if not (self.follows(state, label) if known is None else known):
                         continue
                 to = at + len(label)
@@ -145,41 +160,53 @@ class TokenAutomaton:
                 if dead and to in dead:
                     continue
                 path.append(label)
-                left.append(tries)
-                at, state = to, label
+                left.append((tries, i))
+                at, state, row = to, label, arcs.get(label, NO_ARCS)
                 if at < n:
-                    tries = self.labels_from(word, at)
+                    tries = labels_from(word, at)
+                    i = len(tries)
                 break
             else:
                 if not path:
                     return []  # a symbol that no label spells
                 dead.add(at)  # only one path leads here, and it goes no further
                 at -= len(path.pop())  # no label with the suffix: the word would be done
-                state, tries = path[-1] if path else None, left.pop()
+                state, (tries, i) = path[-1] if path else None, left.pop()
+                row = arcs.get(state, NO_ARCS)
         return path
 
 
 class WordTable(dict):
-    """Word to (number of tokens, ids text, text decoded from the ids); a missing word walks the automaton."""
+    """Word to (number of tokens, ids text, text decoded from the ids); a missing word walks the automaton.
+
+    Beyond ``MAX_WORDS`` words the table starts anew, and words come over
+    from the one before when they are met again; frequent words so stay.
+    """
 
     def __init__(self, automaton: TokenAutomaton, decode):
         super().__init__()
         self.automaton, self.decode = automaton, decode
+        self.before: dict = {}
+        self.shown = {t: str(i) for t, i in automaton.vocab.items()}
         self.symbols = str.maketrans({chr(b): s for b, s in byte_symbols().items()})
 
     def __missing__(self, word: str):
-        if word.isascii() and word.isprintable():
-            symbols = word  # printable bytes stand for themselves
-        else:
-            symbols = word.encode().decode("latin-1").translate(self.symbols)
-        ids = [self.automaton.vocab[t] for t in self.automaton.encode_word(symbols)]
-        got = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+        got = self.before.get(word) or self._walk(word)
         if len(word) <= MAX_CACHED_WORD:
             if len(self) >= MAX_WORDS:
+                self.before = dict(self)
                 self.clear()
             self[word] = got
         return got
 
+    def _walk(self, word: str) -> tuple[int, str, str]:
+        if word.isascii() and word.isprintable():
+            symbols = word  # printable bytes stand for themselves
+        else:
+            symbols = word.encode().decode("latin-1").translate(self.symbols)
+        path = self.automaton.encode_word(symbols)
+        return len(path), " ".join([self.shown[t] for t in path]), self.decode([self.automaton.vocab[t] for t in path])
+
 
 class Tokenizer:
     """Text to ids and back by a tokenizer file's rules: special tokens, NFC, lower case, split, automaton."""
@@ -226,8 +253,7 @@ class Tokenizer:
                 split, text = self.split, text.replace("Σ", "σ")
                 if self.rare.search(text):
                     split, text = self.split_newer, text.translate(LOWER)
-        words = self.words
-        return [words[w] for w in split.findall(text.lower())]
+        return list(map(self.words.__getitem__, split.findall(text.lower())))
 
     def decode(self, ids: list[int]) -> str:
         """The arcs' labels, joined by blanks: the file names no decoder."""
@@ -288,9 +314,9 @@ def encode(docs: DataFrame, spec_text: str, with_ids: bool = True) -> DataFrame:
             for doc_id, text in zip(b["doc_id"].astype("Int64"), b["text"]):
                 got = tok.encode(text) if text else []
                 # words are decoded from their ids when they are first met
-                n, ids, decoded = zip(*got) if got else ((), (), ())
-                n, ids = sum(n), " ".join(ids)
-                row = [None if doc_id is pd.NA else doc_id, n, _digest(ids), _digest(" ".join(decoded))]
+                ids, decoded = (" ".join(map(itemgetter(i), got)) for i in (1, 2))
+                n = sum(map(itemgetter(0), got))
+                row = [None if doc_id is pd.NA else doc_id, n, _digest(ids), _digest(decoded)]
                 rows.append(row + [np.array(ids.split(), np.int32)] if with_ids else row)
                 size += n
                 if size >= MAX_OUT:
