@@ -12,8 +12,10 @@ distance to their parent, and a search follows the edges within the radius of
 the query's own distance. Each shard's tree goes to the one task that asks
 it, instead of to all tasks, as a tree of all shards grows with the corpus. A
 shard of more than ``SHARD_ROWS`` fingerprints is dealt out again by blocks of
-its remaining bits: the rest of the bits then differ in r at most as well, so
-no link is lost.
+its remaining bits, as often as it takes: the rest of the bits then differ in
+r at most as well, so no link is lost. More than that many distinct
+fingerprints mostly differ from their middle in over r bits, so a level
+keeps a good third of them in each of its shards.
 
 Within a shard the tree's links are reduced to one (member, smallest member)
 row per fingerprint, never to all pairs; the rows of all shards are joined up
@@ -82,15 +84,11 @@ def _blocks(n: int, parts: int) -> list[tuple[int, int]]:
     return [(lo, hi - lo) for lo, hi in zip(edge, edge[1:])]
 
 
-def _bit_field(fp: Column, offset: int, width: int) -> Column:
-    return F.shiftrightunsigned(fp, offset).bitwiseAND(F.lit((1 << width) - 1))
-
-
-def _rest(fp: Column, offset: int, width: int) -> Column:
-    """The bits outside a block, moved together."""
-    low = fp.bitwiseAND(F.lit((1 << offset) - 1))
-    high = F.shiftleft(F.shiftrightunsigned(fp, offset + width), offset) if offset + width < 64 else F.lit(0).cast("long")
-    return high.bitwiseOR(low)
+def _finer(mask: int, parts: int) -> list[int]:
+    """``mask`` with each of ``parts`` blocks of its free bits added, as signed longs."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    out = [mask | sum(1 << i for i in free[lo:lo + width]) for lo, width in _blocks(len(free), parts)]
+    return [m - (1 << 64) if m >> 63 else m for m in out]
 
 
 def bk_links(fps: np.ndarray, radius: int) -> np.ndarray:
@@ -137,24 +135,29 @@ def bk_links(fps: np.ndarray, radius: int) -> np.ndarray:
 
 
 def links(distinct_fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """``a``, ``b``: per shard, each linked fingerprint and its smallest reachable one. ``distinct_fps`` has ``fp``, without repeats."""
+    """``a``, ``b``: per shard, each linked fingerprint and its smallest reachable one. ``distinct_fps`` has ``fp``, without repeats.
+
+    A shard is a mask of agreed bits and their values. The masks at hand are
+    few (bits + 1 choices a level, at most seven levels until the free bits
+    can't hold ``SHARD_ROWS`` fingerprints), whatever the corpus holds.
+    """
     let_workers_import(distinct_fps.sparkSession)
-    blocks = _blocks(64, bits + 1)
-    fp = F.col("fp")
-    shards = distinct_fps.select("fp", F.posexplode(F.array(*[_bit_field(fp, o, w) for o, w in blocks])).alias("block", "value"))
-    shards = materialize(shards.select("fp", F.col("block").cast("int"), "value"), "shards")
-    sizes = shards.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = shards.join(sizes, ["block", "value"])
-    # large shards once more, by blocks of the bits outside their own
-    sub = F.lit(None)
-    for i, (o, w) in enumerate(blocks):
-        fine = F.array(*[_bit_field(_rest(fp, o, w), oo, ww) for oo, ww in _blocks(64 - w, bits + 1)])
-        sub = F.when(F.col("block") == i, fine).otherwise(sub)
-    small = sized.where(F.col("n") <= SHARD_ROWS).select(
-        "fp", "block", "value", F.lit(-1).alias("sub_block"), F.lit(0).cast("long").alias("sub_value"))
-    large = sized.where(F.col("n") > SHARD_ROWS).select("fp", "block", "value", F.posexplode(sub).alias("sub_block", "sub_value"))
-    key = ["block", "value", "sub_block", "sub_value"]
-    dealt = small.unionByName(large).repartition(*key).sortWithinPartitions(*key)
+    spark = distinct_fps.sparkSession
+    todo, masks, ready = distinct_fps.select("fp", F.lit(0).cast("long").alias("mask")), [0], None
+    while masks:
+        finer = spark.createDataFrame([(m, _finer(m % (1 << 64), bits + 1)) for m in masks], "mask long, finer array<long>")
+        shards = todo.join(F.broadcast(finer), "mask").select("fp", F.explode("finer").alias("mask"))
+        shards = materialize(shards.withColumn("shard", F.col("fp").bitwiseAND(F.col("mask"))), "shards")
+        sizes = materialize(shards.groupBy("mask", "shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+        sized = shards.join(sizes, ["mask", "shard"])
+        # a shard whose free bits may all differ is linked throughout
+        large = (F.col("n") > SHARD_ROWS) & (F.bit_count("mask") < 64 - bits)
+        small = sized.where(~large).select("fp", "mask", "shard")
+        ready = small if ready is None else ready.unionByName(small)
+        todo = sized.where(large).select("fp", "mask").distinct()
+        masks = [r["mask"] for r in sizes.where(large).select("mask").distinct().collect()]
+    key = ["mask", "shard"]
+    dealt = ready.repartition(*key).sortWithinPartitions(*key)
 
     def work(batches):
         held = None

@@ -61,6 +61,30 @@ def test_links_over_shards_lose_nothing(spark, monkeypatch):
     assert [got[f] for f in signed] == brute_groups(fps)
 
 
+def test_dense_cluster_is_dealt_until_bounded(spark, monkeypatch):
+    """Thousands of fingerprints around one middle: more than one level of dealing, and no task holds a larger shard."""
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 60)
+    r = random.Random(4)
+    middle = r.getrandbits(64)
+    fps = {middle} | {middle ^ (1 << a | 1 << b | 1 << c | 1 << d) for a, b, c, d in
+                      (r.sample(range(64), 4) for _ in range(600))}
+    fps = sorted(fps | {f ^ (1 << 50) for f in planted(80, 2)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    levels = []
+    deal = simhash._finer
+    monkeypatch.setattr(simhash, "_finer", lambda mask, parts: levels.append(mask.bit_count()) or deal(mask, parts))
+    prints = spark.createDataFrame([(i, f) for i, f in enumerate(signed)], "doc_id long, fp long")
+    got = {row["fp"]: row["component_id"] for row in simhash.groups(prints).collect()}
+    assert [got[f] for f in signed] == brute_groups(fps)
+    assert len(set(levels)) > 2 and levels[0] == 0
+
+
+def test_finer_masks_cover_the_free_bits():
+    for mask in (0, 0xFFFF, 0xFFFF << 48 | 0xFFF, (1 << 61) - 1):
+        parts = [m % (1 << 64) & ~mask for m in simhash._finer(mask, 4)]
+        assert sum(parts) == (1 << 64) - 1 - mask and all(a & b == 0 for i, a in enumerate(parts) for b in parts[:i])
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
