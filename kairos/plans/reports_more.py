@@ -158,6 +158,31 @@ def s5_examples_by_date(spark, sf_dir):
         "cutoff", "example_id", "customerID")
 
 
+_USER, _ASSISTANT = "Ranked assets {\"at\": ", "}], \"prompt\": "
+
+
+@register("s6_nested_examples", V.with_views(f"""
+    SELECT {dtxt('cutoff')} AS cutoff, example_id, 2 AS n_turns, 'user' AS last_role, '{_USER}' || {dtxt('cutoff')} AS content,
+           '{_ASSISTANT}' || customerID AS completion
+    FROM xex""", RD.TEST))
+def s6_nested_examples(spark, sf_dir):
+    """Examples with nested turns as JSON objects keyed by cutoff, read back piece by piece."""
+    lab = D.test_labels(A.transactions(spark, sf_dir), A.close_prices(spark, sf_dir))
+    path = _folder(spark, "nested")
+
+    def turn(role, *content):
+        return F.struct(F.lit(role).alias("role"), F.concat(*content).alias("content"))
+    day = date_text(F.col("cutoff"))
+    rows = lab.examples.select(
+        day.alias("cutoff"), F.array(turn("system", F.lit("")), turn("user", F.lit(_USER), day)).alias("prompt"),
+        F.array(turn("assistant", F.lit(_ASSISTANT), F.col("customerID"))).alias("completion"), "example_id")
+    writers.write_keyed_json(rows, path, "cutoff", "example_id", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    turns = "array<struct<role: string, content: string>>"
+    back = readers.read_keyed_json(spark, path, f"prompt {turns}, completion {turns}, example_id string", "prompt", "cutoff")
+    return back.select("cutoff", "example_id", F.size("prompt").alias("n_turns"), F.col("prompt")[1]["role"].alias("last_role"),
+                       F.col("prompt")[1]["content"].alias("content"), F.col("completion")[0]["content"].alias("completion"))
+
+
 @register("s7_materialized_prices", V.with_views("""
     SELECT ISIN, count(*) AS n FROM close_prices GROUP BY ISIN"""))
 def s7_materialized_prices(spark, sf_dir):

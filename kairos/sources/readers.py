@@ -6,6 +6,7 @@ All readers take a declared schema; CSV and Parquet share one entry point.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,3 +125,50 @@ def read_examples(spark, path, schema: T.StructType, fmt="json") -> DataFrame:
 def read_split(spark, train_path, test_path, fmt="parquet") -> tuple[DataFrame, DataFrame]:
     """A split that ``writers.save_split`` wrote, as (train, test)."""
     return spark.read.format(fmt).load(train_path), spark.read.format(fmt).load(test_path)
+
+
+# One JSON string, as it stands in a file, and a key whose list is empty.
+_STRING = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
+_EMPTY = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*:\s*\[\s*\]'
+_OPENING = rf'(?s)^\s*\{{(?:\s*{_EMPTY}\s*,)*+\s*{_STRING}\s*:\s*\[\s*\{{\s*$'
+_ELEMENT = (rf'(?s)^(.*\}})\s*(?:,\s*\{{|\](?:\s*,\s*{_EMPTY})*+\s*'
+            rf'(?:,\s*{_STRING}\s*:\s*\[\s*\{{|\}}))\s*$')
+
+
+def read_keyed_json(spark, path, schema: T.StructType | str, first: str, key: str) -> DataFrame:
+    """The elements of ``{"key": [element, ...], ...}`` files with their key, one large file read by many tasks.
+
+    ``first`` names the field that every element starts with, and that occurs
+    as a field nowhere else. Its quoted name with a colon can't stand inside a
+    JSON string, where quotes are escaped, so it is a border between elements
+    that a task finds from any byte of the file: the text source cuts there.
+    What follows an element in its piece tells whether a new key begins; the
+    last key of each split is carried to the splits after it, one row a split.
+
+    Any white space between the parts will do. Keys hold no braces; a key
+    that occurs twice gives the elements of both lists; empty lists and empty
+    objects give no rows; an element that is no JSON fails the job.
+    """
+    schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    border = f'"{first}":'
+    pieces = spark.read.option("lineSep", border).text(path).where(F.trim("value") != "").select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_place"), "value")
+    opens = F.regexp_extract("value", _OPENING, 1)
+    # a key stands in quotes: taken apart from "no key" and with its escapes read by parsing it as a list
+    quoted = F.when(F.col("value").rlike(_OPENING), opens).otherwise(
+        F.when(F.regexp_extract("value", _ELEMENT, 2) != "", F.regexp_extract("value", _ELEMENT, 2)))
+    read = F.from_json(F.concat(F.lit('["'), quoted, F.lit('"]')), "array<string>")[0]
+    pieces = pieces.withColumn("_next", read).withColumn("_element", ~F.col("value").rlike(_OPENING))
+
+    by_split = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    last = pieces.groupBy("_file", "_start").agg(F.max_by("_next", F.when(F.col("_next").isNotNull(), F.col("_place"))).alias("_last"))
+    carried = last.select("_file", "_start", F.last("_last", ignorenulls=True).over(by_split).alias("_carried"))
+    within = Window.partitionBy("_file", "_start").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = pieces.withColumn("_own", F.last("_next", ignorenulls=True).over(within)).where("_element")
+    keyed = keyed.join(carried, ["_file", "_start"], "left")
+    # a whole file without elements is one piece, "{}" or keys of empty lists
+    keyed = keyed.where(~F.col("value").rlike(rf'(?s)^\s*\{{(?:\s*{_EMPTY}\s*,?)*+\s*\}}\s*$'))
+    body = F.concat(F.lit("{" + border), F.regexp_extract("value", _ELEMENT, 1))
+    row = F.from_json(body, schema, {"mode": "FAILFAST"})
+    return keyed.select(F.coalesce("_own", "_carried").alias(key), row.alias("_row")).select(key, "_row.*")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 LAYOUTS = {"by_client": ["client_id"], "by_date": ["cutoff"], "flat": []}
 
@@ -23,6 +24,27 @@ def write_examples(df: DataFrame, path: str, layout: str = "by_client", fmt: str
     w.save(path)
 
 
+def write_keyed_json(df: DataFrame, path: str, key: str, order: str, files: int, mode: str = "overwrite") -> None:
+    """``files`` JSON objects that hold, under each value of ``key``, the list of its rows (without the key) by ``order``.
+
+    Rows go to files by a hash of ``order``, so a key with a third of all rows
+    is spread over all files; a file is sorted once and written line by line,
+    never put together as one value. A null key is written as ``null``, as a
+    text. No rows, no files.
+    """
+    rest = [c for c in df.columns if c != key]
+    rows = df.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("_key"), F.col(order).alias("_order"),
+                     F.pmod(F.xxhash64(order), F.lit(files)).alias("_file"),
+                     F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("_row"))
+    place = Window.partitionBy("_file").orderBy("_key", "_order", "_row")
+    before, after = F.lag("_key").over(place), F.lead("_key").over(place)
+    name = F.regexp_extract(F.to_json(F.array("_key")), r"(?s)^\[(.*)\]$", 1)
+    opening = F.when(before.isNull(), F.concat(F.lit("{"), name, F.lit(": ["))).when(
+        before != F.col("_key"), F.concat(name, F.lit(": ["))).otherwise("")
+    closing = F.when(after.isNull(), "]}").when(after != F.col("_key"), "],").otherwise(",")
+    rows.select("_file", F.concat(opening, "_row", closing).alias("value")).write.mode(mode).partitionBy("_file").text(path)
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines, nulls included."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)

@@ -104,3 +104,66 @@ def test_shuffled_jsonl_is_the_same_for_any_split(spark):
         orders.append([r.a for r in readers.read_jsonl_shuffled(spark, p, SCHEMA, seed=3).collect()])
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert orders[0] == orders[1] != sorted(orders[0])
+
+
+CHAT = "prompt array<struct<role:string,content:string>>, completion array<struct<role:string,content:string>>, n long"
+
+
+def chat(i):
+    tricky = ['plain', '"prompt": {"x"}], "2020": [{', 'a \\" }, { \\\\', 'line\nbreak ]}', "é漢😀", ""]
+    return {"prompt": [{"role": "user", "content": tricky[i % len(tricky)] + "x" * (i % 7 * 40)}, {"role": "user", "content": str(i)}],
+            "completion": [{"role": "assistant", "content": tricky[(i + 1) % len(tricky)]}] * (i % 3), "n": i}
+
+
+def flat(key, e):
+    turns = lambda t: tuple((x["role"], x["content"]) for x in t)
+    return key, turns(e["prompt"]), turns(e["completion"]), e["n"]
+
+
+def test_one_large_json_object_is_read_by_many_tasks(spark):
+    data = {"none": [], "2019-01-01": [chat(i) for i in range(90)], "hollow": [], "2019-02-01": [chat(90)], "two": [],
+            'k"ey \\ é': [chat(i) for i in range(91, 200)], "end": []}
+    want = sorted(flat(k, e) for k, v in data.items() for e in v)
+    for indent in (None, 4):
+        p = os.path.join(tmpdir(), "x.json")
+        with open(p, "w") as f:
+            json.dump(data, f, indent=indent)
+        for size in ("1500", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            try:
+                df = readers.read_keyed_json(spark, p, CHAT, "prompt", "cutoff")
+                assert sorted(flat(r["cutoff"], r) for r in df.collect()) == want
+                parts = spark.read.option("lineSep", '"prompt":').text(p).rdd.getNumPartitions()
+                assert parts > 10 if size == "1500" else parts <= 8  # one a core
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+                spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_keyed_json_without_elements_or_broken(spark):
+    d = tmpdir()
+    for name, text in (("a", "{}"), ("b", '{"x": [], "y": []}'), ("c", ""), ("d", ' {\n"x": [ ] }\n')):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    assert readers.read_keyed_json(spark, d, CHAT, "prompt", "cutoff").count() == 0
+    with open(os.path.join(d, "e"), "w") as f:
+        f.write('{"x": [{"prompt": [}]}')
+    with pytest.raises(Exception):
+        readers.read_keyed_json(spark, d, CHAT, "prompt", "cutoff").collect()
+
+
+def test_keyed_json_round_trip(spark):
+    rows = [flat(("2019-01-01" if i % 3 else None) if i % 5 else 'k"', chat(i)) for i in range(60)] + [flat("twice", chat(7))] * 2
+    df = spark.createDataFrame(rows, f"cutoff string, {CHAT}")
+    p = os.path.join(tmpdir(), "out")
+    writers.write_keyed_json(df, p, "cutoff", "n", 4)
+    files = [os.path.join(r, f) for r, _, fs in os.walk(p) for f in fs if f.endswith(".txt")]
+    assert 1 < len(files) <= 4
+    loaded = [flat(k, e) for f in files for k, v in json.load(open(f)).items() for e in v]  # each is one JSON object
+    want = sorted(("null" if r[0] is None else r[0], *r[1:]) for r in rows)
+    assert sorted(loaded) == want
+    back = readers.read_keyed_json(spark, p, CHAT, "prompt", "cutoff")
+    assert sorted(flat(r["cutoff"], r) for r in back.collect()) == want
+    writers.write_keyed_json(df.limit(0), p, "cutoff", "n", 4)
+    assert not [f for _, _, fs in os.walk(p) for f in fs if f.endswith(".txt") and os.path.getsize(os.path.join(_, f))]
