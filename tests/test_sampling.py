@@ -122,3 +122,26 @@ def test_seeded_shuffle_numbers_the_rows(spark):
     assert [r["place"] for r in rows] == list(range(500))
     assert [r["id"] for r in rows] == [r["id"] for r in sampling.seeded_shuffle(df, 3, "id").collect()]
     assert sampling.seeded_shuffle(df.limit(0), 3, "id", "place").count() == 0
+
+
+def test_split_of_exploded_rows_joins_one_row_per_group(spark, tmp_path):
+    # an explode hides how many rows there are: the rows must never be the side that is broadcast
+    spark.range(300).withColumn("g", (F.col("id") % 3).cast("int")).write.parquet(str(tmp_path / "few"))
+    many = spark.read.parquet(str(tmp_path / "few")).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(40))))
+    drawn = sampling.sample_fraction(many, ["g"], 7, ["id", "i"], 0.2)
+    train, test = sampling.train_test_split(many, "g", 7, ["id", "i"], 0.1)
+    assert dict(drawn.groupBy("g").count().collect()) == {0: 800, 1: 800, 2: 800}
+    assert dict(test.groupBy("g").count().collect()) == {0: 400, 1: 400, 2: 400}
+    assert train.count() == 10800 and train.intersect(test).count() == 0
+    for df in (drawn, train, test):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "BuildLeft" not in plan.split("Initial Plan")[0]
+
+
+def test_split_keeps_every_row(spark):
+    # equal rows, and rows of no group
+    df = spark.createDataFrame([(1, 5)] * 12 + [(None, 1), (None, 2)], "g int, i int")
+    train, test = sampling.train_test_split(df, "g", 1234, ["i"], 0.1)
+    assert sorted(map(tuple, test.collect())) == [(1, 5)] * 2
+    assert sorted(map(tuple, train.collect()), key=str) == sorted([(1, 5)] * 10 + [(None, 1), (None, 2)], key=str)
