@@ -67,6 +67,35 @@ def test_cohort_shares_follow_weights(spark):
         r.customerID: r.client_id for r in cohorts.with_client(t, ["customerType", "riskLevel", "investmentCapacity"]).collect()}
 
 
+def test_combinations_meet_customers_by_one_number(spark):
+    # tables keyed by text take whole memory pages on the driver, however few combinations there are
+    names = ["customerType", "riskLevel", "investmentCapacity"]
+    rows = [(str(i), "AB"[i % 2], None if i % 3 else "x", "y") for i in range(60)] + [("z", None, None, None)]
+    t = spark.createDataFrame(rows, "customerID string, customerType string, riskLevel string, investmentCapacity string")
+    got = cohorts.with_client(t, names)
+    plan = got._jdf.queryExecution().executedPlan().toString()  # before it runs: afterwards it is shown twice
+    assert sorted(r.customerID for r in got.collect()) == sorted(r[0] for r in rows)
+    assert plan.count("Join") == 1 and "Join [_k#" in plan
+
+
+def test_profitable_assets_are_not_broadcast(spark):
+    import datetime as dt
+    from kairos.functions.dates import CutoffGrid
+    from kairos.plans import datasets as D
+    from kairos.schemas import TRANSACTIONS
+    seen, real = [], D.build_once
+    D.build_once = lambda df, name: seen.append((name, df._jdf.queryExecution().executedPlan().toString())) or real(df, name)
+    try:
+        tx = spark.createDataFrame([("t", "c", "A", "Buy", 1.0, dt.datetime(2000, 2, 1))], TRANSACTIONS)
+        prices = spark.createDataFrame([("A", dt.datetime(2000, 1, 1), 1.0), ("A", dt.datetime(2000, 3, 1), 2.0)],
+                                       "ISIN string, timestamp timestamp_ntz, closePrice double")
+        lab = D.test_labels(tx, prices, CutoffGrid(dt.date(2000, 1, 10), dt.date(2000, 1, 10), 14))
+        assert [tuple(r) for r in lab.good.collect()] == [("c@2000-01-10", "A")]
+    finally:
+        D.build_once = real
+    assert "Broadcast" not in dict(seen)["good"]
+
+
 def test_histogram_is_dense(spark):
     rows = [("1", "A", "x", "y", 0), ("2", "B", "x", "y", 3)]
     a = spark.createDataFrame(rows, "customerID string, customerType string, riskLevel string, investmentCapacity string, client_id int")
