@@ -174,3 +174,16 @@ def test_split_keeps_every_row(spark):
     train, test = sampling.train_test_split(df, "g", 1234, ["i"], 0.1)
     assert sorted(map(tuple, test.collect())) == [(1, 5)] * 2
     assert sorted(map(tuple, train.collect()), key=str) == sorted([(1, 5)] * 10 + [(None, 1), (None, 2)], key=str)
+
+
+def test_bad_assets_meet_the_good_ones_as_a_list_in_the_shuffle_that_ranks_them(spark):
+    from kairos.plans import datasets as D
+    good = spark.createDataFrame([("e1", "A1"), ("e1", None), ("e2", "A1"), ("e2", "A2"), ("e2", "A3"), ("e3", "Z")], "example_id string, ISIN string")
+    assets = spark.createDataFrame([("A1",), ("A2",), ("A3",), ("A4",), (None,)], "ISIN string")
+    bad = D.bad_assets(D.Labels(None, None, good, None), assets, 3)
+    got = {}
+    for r in bad.collect():
+        got.setdefault(r["example_id"], []).append(r["ISIN"])
+    assert set(got["e2"]) == {"A4", None} and len(got["e1"]) == len(got["e3"]) == 3 and "A1" not in got["e1"]
+    plan = bad._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "array_contains" in plan
